@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files: its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (they need not have it installed)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="spark-placetrail-")) / "placetrail_package.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)
