@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placetrail.llm.encoding import encode_corpus, word_counts
+from placetrail.llm.mixing import mix
 from placetrail.llm.runs import collapse_runs
 from placetrail.sources.tables import table
 
@@ -20,5 +22,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_events(spark, d).where("n_frames >= 2").select("seq", "first_capture_no", "last_capture_no")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_events": p2_events}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p6_words(spark: SparkSession, d: str) -> DataFrame:
+    return word_counts(table(spark, d, "documents", "text")).selectExpr("hex(word) as word_hex", "n")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_target"))[1]
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_events": p2_events,
+    "p6_ids": p6_ids,
+    "p6_words": p6_words,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+}
 SQL: dict[str, str] = {}
