@@ -116,6 +116,7 @@ def mix(
     seed: int = 17,
     block_docs: int = BLOCK_DOCS,
     fan_in: int = FAN_IN,
+    heavy_part: float = 0.005,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, n_tokens, copies of each document used) and the shares it reaches.
 
@@ -128,30 +129,48 @@ def mix(
     sized = token_counts(documents, key, ranks_path=ranks_path).withColumnRenamed(key, "row_key")
     sizes = cut(sized.where("source is not null and n_tokens > 0"))
     rates = cut(copy_rates(sizes, targets, total_tokens))
-    most = rates.agg(F.max("n_docs")).first()[0] or 0
     kind = sizes.schema["row_key"].dataType.simpleString()
     schema = f"row_key {kind}, source string, n_tokens bigint, whole bigint, p double, chance double, block bigint"
-    used = sizes.join(F.broadcast(rates.select("source", "rate", "n_docs")), "source").select(  # one row per target
-        "row_key",
-        "source",
-        "n_tokens",
-        F.floor("rate").alias("whole"),
-        (F.col("rate") - F.floor("rate")).alias("p"),
-        (F.pmod(F.xxhash64(F.lit(seed), "row_key", "n_tokens"), F.lit(1 << 30)) / float(1 << 30)).alias("chance"),
-        F.pmod(F.xxhash64("row_key", F.lit(seed + 1)), F.ceil(F.col("n_docs") / block_docs)).alias("block"),
-    )
-    rest, done = used, []
-    for level in range(1 + math.ceil(math.log(max(most / block_docs, 1), fan_in)) if most else 0):
-        if level:
-            rest = rest.withColumn("block", F.floor(F.col("block") / fan_in))
-        level_out = cut(rest.groupBy("source", "block").applyInPandas(_pivot_block, schema))
-        done.append(level_out.where("p = 0 or p = 1"))
-        rest = level_out.where("p > 0 and p < 1")
-    last = rest.withColumn("p", F.when(F.col("chance") < F.col("p"), 1.0).otherwise(0.0))
-    for part in done:
-        last = last.unionByName(part)
+    def rounded(docs: DataFrame, rate: DataFrame) -> DataFrame:
+        """``docs`` with their copies; ``rate`` has source, rate and n_docs (one row per target, so it is broadcast)."""
+        most = rate.agg(F.max("n_docs")).first()[0] or 0
+        rest = docs.join(F.broadcast(rate), "source").select(
+            "row_key",
+            "source",
+            "n_tokens",
+            F.floor("rate").alias("whole"),
+            (F.col("rate") - F.floor("rate")).alias("p"),
+            (F.pmod(F.xxhash64(F.lit(seed), "row_key", "n_tokens"), F.lit(1 << 30)) / float(1 << 30)).alias("chance"),
+            F.pmod(F.xxhash64("row_key", F.lit(seed + 1)), F.ceil(F.col("n_docs") / block_docs)).alias("block"),
+        )
+        done = []
+        for level in range(1 + math.ceil(math.log(max(most / block_docs, 1), fan_in)) if most else 0):
+            if level:
+                rest = rest.withColumn("block", F.floor(F.col("block") / fan_in))
+            level_out = cut(rest.groupBy("source", "block").applyInPandas(_pivot_block, schema))
+            done.append(level_out.where("p = 0 or p = 1"))
+            rest = level_out.where("p > 0 and p < 1")
+        last = rest.withColumn("p", F.when(F.col("chance") < F.col("p"), 1.0).otherwise(0.0))
+        for part in done:
+            last = last.unionByName(part)
+        return last.withColumn("copies", (F.col("whole") + F.col("p")).cast("bigint")).drop("whole", "p", "chance", "block")
+
+    # Documents above a small part of their source's target are drawn first; the rate of the others then makes up for
+    # what came out, so that a few very long documents don't move the shares.
+    want = rates.select("source", "max_repeats", "rate", (F.col("rate") * F.col("tokens")).alias("want"))
+    parted = sizes.join(F.broadcast(want), "source").withColumn("heavy", F.col("n_tokens") > heavy_part * F.col("want"))
+    parted = parted.drop("max_repeats", "rate", "want")
+    counted = parted.groupBy("source", "heavy").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("light_tokens"))
+    heavy_rate = counted.where("heavy").join(want, "source").select("source", "rate", "n_docs")
+    heavy = rounded(parted.where("heavy").drop("heavy"), heavy_rate)
+    drawn = heavy.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("drawn"))
+    left = (F.col("want") - F.coalesce("drawn", F.lit(0))) / F.col("light_tokens")
+    left = F.least(F.col("max_repeats").cast("double"), F.greatest(left, F.lit(0.0)))
+    left = F.when(F.abs(left - F.round(left)) < _EPS, F.round(left)).otherwise(left)
+    light_rate = counted.where("not heavy").join(want, "source").join(drawn, "source", "left")
+    light = rounded(parted.where("not heavy").drop("heavy"), light_rate.select("source", left.alias("rate"), "n_docs"))
     mixture = (
-        last.withColumn("copies", (F.col("whole") + F.col("p")).cast("bigint"))
+        heavy.unionByName(light)
         .where("copies > 0")
         .select(F.col("row_key").alias(key), "source", "n_tokens", "copies")
     )

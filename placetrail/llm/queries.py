@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
 from placetrail.llm.runs import collapse_runs
+from placetrail.llm.truncation import truncated, truncation_by_source
 from placetrail.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_target"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents", "doc_id", "text", "source")).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text", "source")
+    return truncation_by_source(documents, truncated(documents))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_events": p2_events,
@@ -45,5 +55,7 @@ QUERIES: dict[str, Query] = {
     "p6_words": p6_words,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
 }
 SQL: dict[str, str] = {}
