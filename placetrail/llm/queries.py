@@ -5,16 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
 from placetrail.llm.runs import collapse_runs
+from placetrail.llm.spectral import describe_groups, similarity_groups
 from placetrail.llm.truncation import truncated, truncation_by_source
 from placetrail.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return describe_groups(similarity_groups(table(spark, d, "descriptor", "out_id", "outputs")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = similarity_groups(table(spark, d, "descriptor", "out_id", "outputs"))
+    shared = groups.groupBy("first_id").agg(F.count("*").alias("n")).where("n > 1").select("first_id")
+    return groups.join(shared, "first_id", "left_semi").select("first_id", F.col("id").alias("out_id"))
+
+
 def p2_events(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "frame_event"))
 
@@ -49,6 +61,8 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_events": p2_events,
     "p6_ids": p6_ids,
