@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
+from placetrail.llm.neighbours import brute_force, nearest_neighbours, neighbour_pairs, neighbour_recall
 from placetrail.llm.runs import collapse_runs
 from placetrail.llm.spectral import describe_groups, similarity_groups
 from placetrail.llm.truncation import truncated, truncation_by_source
@@ -35,6 +36,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_events(spark, d).where("n_frames >= 2").select("seq", "first_capture_no", "last_capture_no")
 
 
+#: Vector fields of half_descriptor and their widths.
+FIELDS = {"outputs": 40, "output8": 32}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    halves = table(spark, d, "half_descriptor", "half_id", *FIELDS)
+    a, b = (neighbour_pairs(nearest_neighbours(halves, c, w)) for c, w in FIELDS.items())
+    return a.unionByName(b).distinct()
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    halves = table(spark, d, "half_descriptor", "half_id", *FIELDS)
+    a, b = (
+        neighbour_recall(nearest_neighbours(halves, c, w), brute_force(halves, c, w)).withColumn("field", F.lit(c))
+        for c, w in FIELDS.items()
+    )
+    return a.unionByName(b)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -65,6 +85,8 @@ QUERIES: dict[str, Query] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_events": p2_events,
+    "p5_found": p5_found,
+    "p5_recall": p5_recall,
     "p6_ids": p6_ids,
     "p6_words": p6_words,
     "p7_mixture": p7_mixture,
