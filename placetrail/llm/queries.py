@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placetrail.llm.batches import dedupe_batches
 from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
 from placetrail.llm.neighbours import brute_force, nearest_neighbours, neighbour_pairs, neighbour_recall
@@ -36,6 +37,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_events(spark, d).where("n_frames >= 2").select("seq", "first_capture_no", "last_capture_no")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe_batches(table(spark, d, "descriptor", "out_id", "batch_no", "image", "outputs"))
+
+
 #: Vector fields of half_descriptor and their widths.
 FIELDS = {"outputs": 40, "output8": 32}
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_events": p2_events,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_recall": p5_recall,
     "p6_ids": p6_ids,
