@@ -68,7 +68,7 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
             sql = sql.replace("{{" + k + "}}", "{" + k + "}")
         return spark.sql(sql, args, **frames)
 
-    words = view(_words(_own("{docs}")), docs=docs)
+    words = cut(view(_words(_own("{docs}")), docs=docs))  # read four times below, so the patterns run once
     grams = view(
         """
         WITH at AS (
