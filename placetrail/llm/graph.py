@@ -14,7 +14,7 @@ BATCH = 512
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, refine: bool = False, entry_part: int = 8, seed: int = 5):
+    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.05, refine: bool = False, entry_part: int = 8, seed: int = 5):
         self.x = np.ascontiguousarray(x, np.float32)
         self.n, self.degree, self.beam, self.alpha2 = len(x), degree, beam, alpha * alpha
         self.square = np.einsum("ij,ij->i", self.x, self.x)

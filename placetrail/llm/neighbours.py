@@ -99,7 +99,7 @@ def nearest_neighbours(
     k: int = 5,
     limit: float = 0.8,
     shard_rows: int = SHARD_ROWS,
-    margin: float = 0.35,
+    margin: float = 0.2,
     max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """The ``k`` nearest vectors of every readable vector: id, neighbour, distance, rank (1 is the nearest).
