@@ -84,7 +84,7 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
         rf"""
         SELECT doc_id, source, length(body) AS n, octet_length(body) AS n_bytes,
           body RLIKE r'\S[ \t]$' AS spaced,
-          w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c,
+          get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c,
           right(rtrim(body), 400) RLIKE {_q(FINISHED)} AS finished,
           right(rtrim(body), 400) RLIKE {_q(BROKEN)} AS broken
         FROM {{words}}""",
