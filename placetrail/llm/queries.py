@@ -100,4 +100,43 @@ QUERIES: dict[str, Query] = {
     "p8_found": p8_found,
     "p8_sources": p8_sources,
 }
-SQL: dict[str, str] = {}
+_READABLE = "{c} IS NOT NULL AND len({c}) = {w} AND list_aggregate(list_transform({c}, lambda v: (v IS NOT NULL AND isfinite(v))::INT), 'min') = 1 AND list_aggregate(list_transform({c}, lambda v: (v <> 0)::INT), 'max') = 1"
+_UNIT = "list_transform({c}, lambda v: v::DOUBLE / sqrt(list_sum(list_transform({c}, lambda u: u::DOUBLE * u::DOUBLE))))"
+_LEVELS = "list_transform(range(1, 65), lambda k: instr('0123456789abcdef', lower(right(image, 64))[k]))"
+_IMAGE = f"CASE WHEN regexp_full_match(image, '(0x)?[0-9a-fA-F]{{64}}') THEN {_LEVELS} END"
+_CLOSE = "len(list_filter(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]) <= 1)) >= 60"
+
+
+def _neighbours_sql(column: str, width: int) -> str:
+    return f"""(WITH r AS (SELECT DISTINCT half_id, {column} AS v FROM half_descriptor WHERE {_READABLE.format(c=column, w=width)}),
+ x AS (SELECT half_id, list_transform(v, lambda t: t::DOUBLE) AS x FROM r),
+ d AS (SELECT a.half_id AS i, b.half_id AS j, list_distance(a.x, b.x) AS d FROM x a JOIN x b ON a.half_id <> b.half_id),
+ k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM d WHERE d <= 0.8)
+ SELECT least(i, j) AS id_lo, greatest(i, j) AS id_hi FROM k WHERE rank <= 5)"""
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH r AS (SELECT DISTINCT out_id, outputs FROM descriptor WHERE {_READABLE.format(c="outputs", w=64)}),
+u AS (SELECT out_id, {_UNIT.format(c="outputs")} AS x FROM r)
+SELECT min(b.out_id) AS first_id, a.out_id FROM u a JOIN u b ON list_distance(a.x, b.x) <= 0.45 GROUP BY a.out_id HAVING count(*) > 1""",
+    "p2_found": f"""WITH e AS (SELECT DISTINCT event_id, seq, capture_no, image, image_number FROM frame_event WHERE seq IS NOT NULL AND capture_no IS NOT NULL),
+g AS (SELECT seq, capture_no, image_number, {_IMAGE} AS im FROM e),
+l AS (SELECT *, lag(im) OVER w AS pm, lag(image_number) OVER w AS pn, lag(capture_no) OVER w AS pc FROM g WINDOW w AS (PARTITION BY seq ORDER BY capture_no)),
+a AS (SELECT *, CASE WHEN pc IS NULL THEN false
+  WHEN im IS NOT NULL AND pm IS NOT NULL THEN {_CLOSE.format(a="im", b="pm")} AND coalesce(abs(image_number - pn) <= 1, true)
+  ELSE coalesce(image_number = pn, false) END AS ok FROM l),
+s AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY seq ORDER BY capture_no) AS run FROM a)
+SELECT seq, min(capture_no) AS first_capture_no, max(capture_no) AS last_capture_no FROM s GROUP BY seq, run HAVING count(*) > 1""",
+    "p4_found": f"""WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT out_id, {_IMAGE} AS im,
+  CASE WHEN {_READABLE.format(c="outputs", w=64)} THEN {_UNIT.format(c="outputs")} END AS x FROM descriptor),
+p AS MATERIALIZED (SELECT a.out_id AS i, b.out_id AS j FROM r a JOIN r b ON b.out_id < a.out_id
+  AND (coalesce(list_distance(a.x, b.x) <= 0.03, false) OR (a.im IS NOT NULL AND b.im IS NOT NULL AND {_CLOSE.format(a="a.im", b="b.im")}))),
+m AS MATERIALIZED (SELECT i, js, row_number() OVER (ORDER BY i) AS n FROM (SELECT i, list(j ORDER BY j) AS js FROM p GROUP BY i)),
+t(n, gone, kept_id, out_id) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT n, CASE WHEN k IS NULL THEN gone ELSE list_append(gone, i) END, k, CASE WHEN k IS NOT NULL THEN i END FROM (
+    SELECT m.n, m.i, t.gone, list_min(list_filter(m.js, lambda j: NOT list_contains(t.gone, j))) AS k FROM t JOIN m ON m.n = t.n + 1))
+SELECT kept_id, out_id FROM t WHERE kept_id IS NOT NULL""",
+    "p5_found": f"{_neighbours_sql('outputs', 40)} UNION {_neighbours_sql('output8', 32)}",
+}
