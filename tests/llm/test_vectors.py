@@ -206,7 +206,7 @@ def test_segments_are_searched_batch_by_batch():
         parts = []
         for b in np.unique(batch):
             m = batch == b
-            parts.append({"kind": 0, "batch": int(b), "keys": batches._planes(keys[m]), "ids": batches._planes(ids[m]), "marks": batches._planes(marks[m])})
+            parts.append({"kind": 0, "p": 0, "q": 0, "side": 0, "batch": int(b), "keys": batches._planes(keys[m]), "ids": batches._planes(ids[m]), "marks": batches._planes(marks[m])})
         t = batches._replay(3)(pa.Table.from_pylist(parts))
         lo, hi = (batches._from_planes(t[c].to_pylist(), np.int64) for c in ("lo", "hi"))
         return set(zip(lo.tolist(), hi.tolist()))
@@ -215,6 +215,26 @@ def test_segments_are_searched_batch_by_batch():
     assert one == pairs_of(ids // 17) == {(a, b) for a in range(300) for b in range(a + 1, 300) if keys[a] == keys[b]}
 
 
+@pytest.mark.parametrize("seed", [0])
+def test_batches_one_by_one(spark, seed, tmp_path):
+    rows = random_frames(seed, 360)
+    index = batches.AcceptedIndex(spark, f"file://{tmp_path}/i", shards=4)
+    got = set()
+    for b in range(6):
+        part = [r for r in rows if r[1] == b]
+        got |= {(r.kept_id, r.out_id) for r in index.add(spark.createDataFrame(part, FRAMES)).collect()}
+        index = batches.AcceptedIndex(spark, f"file://{tmp_path}/i")  # goes on from the folder
+    assert got == plain_dedupe(rows)
+    assert len(index.state["live"]) <= 3 and sum(n for _, n in index.state["live"]) == len({r[0] for r in rows}) - len(got)
+    assert index.add(spark.createDataFrame([], FRAMES)).count() == 0
+
+
+def test_hot_shards_are_split(spark):
+    rows = random_frames(3, 240)
+    df = spark.createDataFrame(rows, FRAMES).repartition(6)
+    assert {(r.kept_id, r.out_id) for r in dedupe_batches(df, suffixes_per_shard=300).collect()} == plain_dedupe(rows)
+
+
 def test_readable_vectors():
     x, rows = readable_vectors(pa.array([[1.0, 2.0], *bad_vectors(2), [3.0, 0.0]], pa.list_(pa.float32())), 2)
     assert rows.tolist() == [0, 8] and x.tolist() == [[1, 2], [3, 0]]
