@@ -132,9 +132,9 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
           CASE WHEN in3 + e3 + more3 >= 3 THEN struct(in3 + e3 AS whole, more3 AS longer)
                WHEN in2 + e2 + more2 >= 3 THEN struct(in2 + e2 AS whole, more2 AS longer)
                ELSE struct(in1 + e1 AS whole, more1 AS longer) END AS k FROM p2)
-        SELECT doc_id, source, n, n_bytes, finished, CASE
-          WHEN finished AND NOT broken AND NOT spaced THEN NULL
+        SELECT doc_id, source, n, n_bytes, finished OR end_rate > 0.9 AS finished, CASE
           WHEN broken THEN 'markup'
+          WHEN finished AND NOT spaced THEN NULL
           WHEN spaced THEN 'sentence'
           WHEN c = '¶' THEN NULL
           WHEN k.longer >= IF(in1 + e1 > 2, 5, 2) AND k.whole <= 0.1 * k.longer THEN 'word'
@@ -145,22 +145,28 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
         stats=stats,
     )
     judged = cut(judged)
-    limits = view(
+    # lengths at which most texts of a source that have no end were cut; the largest group gives the limit, and a
+    # text may be a few short of it where the cut left a blank or half a character that was then removed
+    lengths = view(
         """
         WITH at AS (
           SELECT source, unit, len, count(reason) AS n_cut, count(*) AS n_all FROM (
             SELECT source, reason, stack(2, 'chars', n, 'bytes', n_bytes) AS (unit, len) FROM {judged})
-          GROUP BY source, unit, len)
-        SELECT source, max_by(unit, (n_cut, unit)) AS unit, max_by(len, (n_cut, unit)) AS len FROM at
-        WHERE n_cut >= 5 AND n_cut >= 0.5 * n_all GROUP BY source""",
+          GROUP BY source, unit, len),
+        total AS (SELECT source, count(reason) AS n_source FROM {judged} GROUP BY source),
+        peak AS (SELECT source, max_by((unit, len, n_cut), (n_cut, unit)) AS top FROM at GROUP BY source)
+        SELECT at.source, at.unit, at.len, top.len AS limit_length
+        FROM at JOIN peak ON at.source <=> peak.source AND at.unit = top.unit AND at.len BETWEEN top.len - 3 AND top.len
+        JOIN total ON at.source <=> total.source
+        WHERE top.n_cut >= 0.3 * n_source AND at.n_cut >= 5 AND at.n_cut >= 0.5 * at.n_all""",
         judged=judged,
     )
+    limits = view("SELECT source, max(unit) AS unit, max(limit_length) AS len, collect_set(len) AS lengths FROM {lengths} GROUP BY source", lengths=lengths)
     return view(
         """
         SELECT j.doc_id, j.source, coalesce(j.reason, 'limit') AS reason, l.unit AS limit_unit, l.len AS limit_length
         FROM {judged} j LEFT JOIN {limits} l ON j.source <=> l.source
-        WHERE j.reason IS NOT NULL OR (NOT j.finished AND IF(l.unit = 'bytes',
-          j.n_bytes = l.len OR (j.n_bytes > j.n AND j.n_bytes BETWEEN l.len - 3 AND l.len), j.n = l.len))""",
+        WHERE j.reason IS NOT NULL OR (NOT j.finished AND array_contains(l.lengths, IF(l.unit = 'bytes', j.n_bytes, j.n)))""",
         judged=judged,
         limits=limits,
     )

@@ -161,7 +161,8 @@ def test_truncated_texts(spark):
     }
     fine = [
         "", None, "   ", "lol", "Our new battery under the lamp stopped after 3 laps and then it was fine again\n-- \nme | my bike",
-        "> Our new battery [...]\n\nIt was fine again. lol", "[code]set a = 1[/code]", "<br>", "x" * 200_000 + ".",
+        "[quote=me]A small camera near the ramp was fine again.\nOur new battery was fine again.",
+        "> A small camera near the ramp stopped after 3 laps and then it was fine again.", "> Our new battery [...]\n\nIt was fine again. lol", "[code]set a = 1[/code]", "<br>", "x" * 200_000 + ".",
     ]
     texts = [*good, *cut.values(), *fine]
     df = docs(spark, texts, None)

@@ -206,7 +206,7 @@ def test_segments_are_searched_batch_by_batch():
         parts = []
         for b in np.unique(batch):
             m = batch == b
-            parts.append({"kind": 0, "p": 0, "q": 0, "side": 0, "batch": int(b), "keys": batches._planes(keys[m]), "ids": batches._planes(ids[m]), "marks": batches._planes(marks[m])})
+            parts.append({"kind": 0, "p": 0, "q": 0, "side": 0, "batch": int(b), "keys": batches._planes(keys[m], rising=True), "ids": batches._planes(ids[m]), "marks": batches._planes(marks[m])})
         t = batches._replay(3)(pa.Table.from_pylist(parts))
         lo, hi = (batches._from_planes(t[c].to_pylist(), np.int64) for c in ("lo", "hi"))
         return set(zip(lo.tolist(), hi.tolist()))
