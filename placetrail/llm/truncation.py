@@ -132,7 +132,7 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
           CASE WHEN in3 + e3 + more3 >= 3 THEN struct(in3 + e3 AS whole, more3 AS longer)
                WHEN in2 + e2 + more2 >= 3 THEN struct(in2 + e2 AS whole, more2 AS longer)
                ELSE struct(in1 + e1 AS whole, more1 AS longer) END AS k FROM p2)
-        SELECT doc_id, source, n, n_bytes, finished OR end_rate > 0.9 AS finished, CASE
+        SELECT doc_id, source, n, n_bytes, finished OR coalesce(end_rate > 0.9, false) AS finished, CASE
           WHEN broken THEN 'markup'
           WHEN finished AND NOT spaced THEN NULL
           WHEN spaced THEN 'sentence'
