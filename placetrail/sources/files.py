@@ -20,6 +20,15 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return named.join(labels, "class").select("path", "label", number.alias("capture_no"), "content")
 
 
+def read_splits(spark: SparkSession, folders: dict[str, str], pattern: str = "*") -> DataFrame:
+    """Image folders of several splits in one table, with the column ``split``; labels are ranked within each split."""
+    parts = [read_images(spark, folder, pattern).withColumn("split", F.lit(name)) for name, folder in folders.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def frame_index(images: DataFrame, order: list[str]) -> DataFrame:
     """``images`` with ``frame_idx``, the loader's order: by ``order``, names compared as strings."""
     return row_numbers(images, order, "frame_idx")
@@ -47,6 +56,11 @@ def save_chunks(descriptors: DataFrame, path: str, keys: list[str]) -> None:
     )
 
 
+def append_poses(poses: DataFrame, path: str) -> None:
+    """Pose texts (column text) added to a log; what stands there stays."""
+    poses.select("text").write.mode("append").text(path)
+
+
 def save_report(records: DataFrame, path: str, order: list[str]) -> None:
     """A report as text files in order. Records are separated by one line end; an empty line before the first is not kept."""
     text = F.regexp_replace("text", r"^\n|\n$", "").alias("text")

@@ -94,3 +94,26 @@ def test_poses_and_commands(spark, tmp_path):
     assert [(r.x, r.y, r.z, r.rx, r.ry, r.rz, r.rw) for r in got] == [(1.5, -2, 0, 0.1, None, None, 0.7), (3, *[None] * 6)]
     keys = spark.createDataFrame([(k,) for k in "wsadq"], "k string").select("k", poses.velocity(F.col("k")).alias("v")).select("k", "v.*")
     assert keys.collect() == [("w", "linear", 1.5, 2), ("s", "linear", -1.5, 2), ("a", "angular", 1.0, 1), ("d", "angular", -1.0, 1), ("q", None, None, None)]
+
+
+def test_csv_splits_and_appended_logs(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("actual,pred\n1,0.5\n0,\n")
+    assert files.read_evaluation(spark, f"file://{tmp_path}/e.csv").collect() == [(1, 0.5), (0, None)]
+    for split, names in (("train", ("a", "b")), ("test", ("b",))):
+        for n in names:
+            (tmp_path / split / n).mkdir(parents=True)
+            (tmp_path / split / n / "1.pgm").write_bytes(pnm(np.zeros((2, 2, 1))))
+    both = files.read_splits(spark, {s: f"file://{tmp_path}/{s}" for s in ("train", "test")}, "*.pgm")
+    assert sorted((r.split, r.label) for r in both.collect()) == [("test", 0), ("train", 0), ("train", 1)]
+    for k in range(2):
+        files.append_poses(spark.createDataFrame([(f"[position:\n  x: {k}",)], "text string"), f"file://{tmp_path}/log")
+    lines = files.read_lines(spark, f"file://{tmp_path}/log")
+    assert sorted(r.value for r in lines.where("value like '  x%'").collect()) == ["  x: 0", "  x: 1"]
+
+
+def test_presets_number_images_as_published(spark):
+    """Chunk 3 and 4 of the deployed setting cover 220 to 440, without a gap."""
+    p = Preset(offsets=(None, 221, 441, 661))
+    df = spark.range(221).select(F.col("id").alias("i"), F.explode(F.array(F.lit(2), F.lit(3))).alias("chunk"))
+    numbers = {int(r[0]) for r in df.select(arrays.image_number(p, F.col("chunk"), F.col("i"))).collect()}
+    assert numbers == set(range(220, 441))
