@@ -32,24 +32,27 @@ _RUN = (
 def agglomerate(similarity: np.ndarray) -> np.ndarray:
     """The run of each of n events, from the similarity of each event with the next (negative: they may not join).
 
-    Runs are a doubly linked list; the queue holds the links, the most similar first. Joining two runs leaves the
-    events at the outer borders, and so their links, as they were: a link counts once, when it is taken.
+    Runs are a linked list, named by their first event; the queue holds the borders between runs, the most similar
+    first. Two runs are as similar as the events that face each other, so joining two leaves their outer borders as
+    they were, and each border is taken from the queue once.
     """
     n = len(similarity) + 1
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    head = list(range(n))  # of the run that ends at this event: its first event; kept at both ends of a run
+    after = list(range(1, n + 1))  # of a run: the run behind it
+    last = list(range(n))  # of a run: its last event
+    owner = list(range(n))  # of a last event: its run
     queue = [(-s, k) for k, s in enumerate(similarity.tolist()) if s >= 0]
     heapq.heapify(queue)
-    joined = np.zeros(n, bool)
     while queue:
         _, k = heapq.heappop(queue)
-        left, right = k, after[k]
-        if right >= n:
-            continue
-        joined[right] = True
-        head[right] = head[left]
-        before[right], after[left] = left, right
-    return np.cumsum(~joined) - 1
+        left = owner[k]
+        right = after[left]
+        last[left], after[left] = last[right], after[right]
+        owner[last[left]] = left
+    out, run, number = np.zeros(n, np.int64), 0, 0
+    while run < n:
+        out[run : last[run] + 1] = number
+        run, number = after[run], number + 1
+    return out
 
 
 def _similarities(image, ok, number, block, same):
