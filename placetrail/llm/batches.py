@@ -9,7 +9,9 @@ Suffixes go to shards by the symbols that a match must share, packed into one ro
 batches are replayed: each batch's sorted suffixes are an immutable segment, its own suffixes are searched by bisection
 in the segments of the batches before and in itself, and segments of like size are merged, so that there are never
 more than a logarithm of them. What two frames share is added up over all shards (coverage); pairs with enough of it are
-compared exactly. Exact copies count as one throughout, so that a frame delivered a million times is one suffix set.
+compared exactly. Of exact copies only the first one gets suffixes, so that a frame delivered a million times is one
+suffix set. A run of more than HOT contents with the same symbols gives its members, not their pairs: rounds compare its
+first live members with all of it, so that a hot place costs accepted times delivered frames, not the square of these.
 
 Acceptance: all frames with the same image, and all with the same vector, form classes; in a class at most one frame is
 accepted. Rounds over the few frames whose class has a copy or a match accept every frame that no undecided frame
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placetrail.functions.images import PIXELS, close_pixels, decode_images
@@ -44,7 +46,9 @@ _ORDERS = np.stack([np.random.default_rng(s).permutation(PIXELS) for s in range(
 HISTORY = -(1 << 62)
 #: Of a unit vector in 16-bit steps: no distance of two is off by more.
 _BRIEF_ERROR = 3e-4
-_PACKED = "shard int, kind int, batch bigint, n bigint, keys binary, ids binary, marks binary"
+_PACKED = "shard int, kind int, batch bigint, n bigint, keys binary, ids binary"
+#: Contents from which a run is hot, and members of each hot run that the first round compares with all of it.
+HOT, FIRST_PIVOTS = 256, 16
 
 
 def suffix_keys(values: np.ndarray, kind: int) -> np.ndarray:
@@ -87,10 +91,10 @@ def _from_planes(parts: list[bytes], dtype: type, rising: bool = False) -> np.nd
     return np.concatenate(out)
 
 
-def _contents_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows of an array: the raw bytes of each row, and the place of the first row of each content."""
+def _contents_of(values: np.ndarray) -> np.ndarray:
+    """The different rows of an array: the place of the first row of each content."""
     raw = np.ascontiguousarray(values).view(np.dtype((np.void, values.dtype.itemsize * values.shape[1]))).ravel()
-    return raw, np.unique(raw, return_index=True)[1]
+    return np.unique(raw, return_index=True)[1]
 
 
 def _keys_and_shards(values: np.ndarray, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ def _sizes(shards: int):
             image, ok = decode_images(b["image"])
             for kind, values in ((IMAGE, image[ok]), (VECTOR, readable_vectors(b["outputs"], PIXELS)[0])):
                 if len(values):
-                    first = _contents_of(values)[1]
+                    first = _contents_of(values)
                     n[kind] += np.bincount(_keys_and_shards(values[first], kind, shards)[1].ravel().astype(np.int64), minlength=shards)
         kind, shard = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(n[kind, shard])], names=["kind", "shard", "n"])
@@ -124,18 +128,14 @@ def _pack(shards: int):
             if not len(rows):
                 continue
             order = np.argsort(ids[rows], kind="stable")
-            raw, first = _contents_of(values[order])
+            first = _contents_of(values[order])
             at = order[first]
-            mark = np.array([int.from_bytes(hashlib.blake2b(raw[f].tobytes(), digest_size=4).digest(), "little") for f in first], np.uint32)
             keys, shard = _keys_and_shards(values[at], kind, shards)
             n = keys.shape[1]
             keys, who = keys.ravel(), np.repeat(rows[at], n)
-            # copies have equal marks; another mark for each suffix, so that no two contents are taken for one throughout
-            odd = (2 * np.arange(n, dtype=np.uint64) + 1) * np.uint64(0x9E3779B1)
-            marks = ((mark.astype(np.uint64)[:, None] * odd[None, :]) >> np.uint64(24)).astype(np.uint8).ravel()
             shard = shard.ravel()
             group = np.lexsort((keys, batch[who], shard))
-            keys, who, marks, shard = keys[group], who[group], marks[group], shard[group].astype(np.int32)
+            keys, who, shard = keys[group], who[group], shard[group].astype(np.int32)
             b = batch[who]
             cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (b[1:] != b[:-1])])
             ends = np.r_[cuts[1:], len(keys)]
@@ -147,7 +147,6 @@ def _pack(shards: int):
                     pa.array((ends - cuts).astype(np.int64)),
                     pa.array([_planes(keys[s:e], rising=True) for s, e in zip(cuts, ends)], pa.binary()),
                     pa.array([_planes(ids[who[s:e]]) for s, e in zip(cuts, ends)], pa.binary()),
-                    pa.array([_planes(marks[s:e]) for s, e in zip(cuts, ends)], pa.binary()),
                 ],
                 names=[c.split()[0] for c in _PACKED.split(", ")],
             )
@@ -178,13 +177,13 @@ def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - offset, size) + np.arange(int(size.sum()))
 
 
-def _fresh(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sorted segment in which each content stands once per suffix, under its smallest id."""
-    order = np.lexsort((ids, marks, keys))
-    keys, ids, marks = keys[order], ids[order], marks[order]
+def _fresh(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted segment in which each id stands once per suffix; different contents have different ids."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
     first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
-    return keys[first], ids[first], marks[first]
+    first[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    return keys[first], ids[first]
 
 
 def _replay(pair_shards: int, chunk: int = 2_000_000):
@@ -192,7 +191,8 @@ def _replay(pair_shards: int, chunk: int = 2_000_000):
 
     Rows of batch HISTORY are segments of frames accepted earlier: they are searched, but not among themselves. If a
     shard is split, a task has two of its parts (``side`` 0 and 1) and only meets one with the other; a part by itself
-    (``within``) is met with itself.
+    (``within``) is met with itself. Members of hot runs are taken out beforehand and emitted with a negative place, the
+    run in lo, the id in hi.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -226,17 +226,24 @@ def _replay(pair_shards: int, chunk: int = 2_000_000):
                 emit(np.repeat(new[1][rows], size[rows]), old[1][_spans(left[rows], size[rows])])
                 s = e
 
-        def segment(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def segment(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             part = t.take(pa.array(rows))
             return _fresh(
                 _from_planes(part["keys"].to_pylist(), np.uint64, rising=True),
                 _from_planes(part["ids"].to_pylist(), np.int64),
-                _from_planes(part["marks"].to_pylist(), np.uint8),
             )
 
+        every = {b: [segment(np.flatnonzero((batch == b) & (side == s))) for s in (0, 1)] for b in np.unique(batch)}
+        runs, n = np.unique(np.concatenate([keys >> shift for new in every.values() for keys, _ in new]), return_counts=True)
+        hot, hot_run, hot_id = runs[n > HOT], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         segments: list[list] = [[], []]
-        for b in np.unique(batch):
-            new = [segment(np.flatnonzero((batch == b) & (side == s))) for s in (0, 1)]
+        for b in list(every):
+            new = every.pop(b)
+            for s, (keys, ids) in enumerate(new if len(hot) else []):
+                out = np.isin(keys >> shift, hot)
+                hot_run.append(keys[out] >> shift)
+                hot_id.append(ids[out])
+                new[s] = keys[~out], ids[~out]
             if b != HISTORY:
                 if within:
                     meet(new[0], new[0], itself=True)
@@ -254,6 +261,12 @@ def _replay(pair_shards: int, chunk: int = 2_000_000):
         none = np.zeros(0, np.int64)
         lo, hi, n = (np.concatenate([none, *c]) for c in (lo_out, hi_out, n_out))
         where = ((lo * 1000003 + hi) % pair_shards).astype(np.int32)
+        # a part of a split shard has its own runs; two runs of one number would only be compared with each other too
+        part = np.uint64(t["p"][0].as_py() << 20 | t["q"][0].as_py())
+        run, member = np.concatenate(hot_run), np.concatenate(hot_id)
+        run = ((run ^ (part * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        lo, hi, n = np.r_[lo, run], np.r_[hi, member], np.r_[n, np.zeros(len(run), np.int64)]
+        where = np.r_[where, (-1 - run % pair_shards).astype(np.int32)]
         order = np.argsort(where, kind="stable")
         lo, hi, n, where = lo[order], hi[order], n[order].astype(np.int32), where[order]
         cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else none
@@ -273,7 +286,10 @@ def _replay(pair_shards: int, chunk: int = 2_000_000):
 
 
 def _met(packed: DataFrame, sizes: DataFrame, shards: int, suffixes_per_shard: int) -> DataFrame:
-    """Pairs with enough coverage (kind, lo, hi). A shard of far more suffixes than planned is split into parts by block."""
+    """Pairs with enough coverage (kind, lo, hi), and members of hot runs (kind less 2, run, id).
+
+    A shard of far more suffixes than planned is split into parts by block.
+    """
     large = sizes.groupBy("kind", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * suffixes_per_shard)
     splits = {(r.kind, r.shard): -(-r.n // (2 * suffixes_per_shard)) for r in large.collect()}  # only the hot ones
     pair = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), side.alias("side"))
@@ -288,7 +304,7 @@ def _met(packed: DataFrame, sizes: DataFrame, shards: int, suffixes_per_shard: i
         meets = F.when(n == 1, meets).otherwise(many)
     return (
         packed.select("*", F.explode(meets).alias("m"))
-        .select("kind", "shard", "batch", "keys", "ids", "marks", "m.p", "m.q", "m.side")
+        .select("kind", "shard", "batch", "keys", "ids", "m.p", "m.q", "m.side")
         .groupBy("kind", "shard", "p", "q")
         .applyInArrow(_replay(shards), "place int, kind int, lo binary, hi binary, n binary")
         .groupBy("kind", "place")
@@ -297,9 +313,11 @@ def _met(packed: DataFrame, sizes: DataFrame, shards: int, suffixes_per_shard: i
 
 
 def _covered(t: pa.Table) -> pa.Table:
-    """Packed pairs of one place: those with enough coverage."""
+    """Packed pairs of one place: those with enough coverage. Of hot runs, all members."""
     kind = t["kind"][0].as_py()
     lo, hi, n = (_from_planes(t[c].to_pylist(), d) for c, d in (("lo", np.int64), ("hi", np.int64), ("n", np.int32)))
+    if t["place"][0].as_py() < 0:
+        return pa.table({"kind": pa.array(np.full(len(lo), kind - 2, np.int32)), "lo": lo, "hi": hi})
     order = np.lexsort((hi, lo))
     lo, hi, n = lo[order], hi[order], n[order]
     new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.zeros(0, np.int64)
@@ -383,12 +401,22 @@ def matching_classes(frames: DataFrame, base: DataFrame, met: DataFrame) -> Data
     ``frames`` has id, image, outputs; ``base`` has id, image_class, vector_class.
     """
     named = F.when(F.col("kind") == IMAGE, F.col("image_class")).otherwise(F.col("vector_class"))
-    pairs = met
+    pairs = met.where("kind >= 0")
     for end, name in (("lo", "a"), ("hi", "b")):
         pairs = pairs.join(base.withColumnRenamed("id", end), end).withColumn(name, named).drop("image_class", "vector_class", end)
-    pairs = cut(
-        pairs.where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    return judge(frames, pairs.where("a <> b"))
+
+
+def hot_runs(base: DataFrame, met: DataFrame) -> DataFrame:
+    """Members of hot runs: run, kind, and the class by its smallest id."""
+    runs = met.where("kind < 0").select((F.col("kind") + 2).alias("kind"), F.col("lo").alias("run"), F.col("hi").alias("id"))
+    named = F.when(F.col("kind") == IMAGE, F.col("image_class")).otherwise(F.col("vector_class"))
+    return runs.join(base, "id").select("run", "kind", named.alias("class")).distinct()
+
+
+def judge(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs of classes (kind, a, b) that match, exactly and each once, a < b."""
+    pairs = cut(pairs.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("content")) for k, c in ((IMAGE, "image"), (VECTOR, "vector")))))
     brief = frames.select("id", "image", "outputs").mapInArrow(_brief, "id bigint, image binary, vector binary")
     brief = brief.select("id", each.alias("c")).select("id", "c.*").where("content is not null")
@@ -401,29 +429,66 @@ def matching_classes(frames: DataFrame, base: DataFrame, met: DataFrame) -> Data
     return matched
 
 
-def reject_repeats(base: DataFrame, links: DataFrame) -> DataFrame:
-    """Take frames in order of id; give out_id and kept_id of each frame that matches an accepted one before it."""
+def reject_repeats(base: DataFrame, links: DataFrame, frames: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Take frames in order of id; give out_id and kept_id of each frame that matches an accepted one before it.
+
+    ``hot`` has runs whose members are not compared yet (run, kind, class; contents in ``frames``). Their first members
+    that are accepted or undecided are compared with the whole run, twice as many each time; a frame waits while a
+    member before it that it was not compared with may still be accepted. In the end every accepted one was compared.
+    """
     node = lambda kind, c: F.col(c) * 2 + kind
     nodes = F.filter(F.array(node(IMAGE, "image_class"), node(VECTOR, "vector_class")), lambda x: x.isNotNull())
     member = base.select("id", F.explode(nodes).alias("node"))
-    copies = member.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    ends = links.select(node(F.col("kind"), "a").alias("node"), node(F.col("kind"), "b").alias("other"))
-    linked = ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    every = linked.select("node").unionByName(copies).distinct()
+    every = member.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    if hot is not None:
+        hot = cut(hot.select("run", node(F.col("kind"), "class").alias("node")))
+        every = every.unionByName(hot.select("node"))
+
+    def both_ways(links: DataFrame) -> DataFrame:
+        ends = links.select(node(F.col("kind"), "a").alias("node"), node(F.col("kind"), "b").alias("other"))
+        return ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
+
+    linked = both_ways(links)
+    every = linked.select("node").unionByName(every).distinct()
     near = cut(linked.unionByName(every.select("node", F.col("node").alias("other"))))
     involved = member.join(every, "node", "left_semi").select("id").distinct()
     mine = cut(member.join(every, "node", "left_semi").join(involved, "id", "left_semi"))
-    open_, taken = mine, None
-    while True:
-        least = open_.groupBy(F.col("node").alias("other")).agg(F.min("id").alias("least"))
-        before = near.join(least, "other").groupBy("node").agg(F.min("least").alias("least"))
-        ready = open_.join(before, "node").groupBy("id").agg(F.min("least").alias("least")).where("least >= id").select("id")
-        now = cut(open_.join(ready, "id", "left_semi"))
-        taken = now if taken is None else taken.unionByName(now)
-        shut = near.join(now.select(F.col("node").alias("other")), "other").select("node").distinct()
+    open_, taken, ahead, pivots_a_run = mine, mine.limit(0), hot, FIRST_PIVOTS
+
+    def without_neighbours(of: DataFrame) -> DataFrame:
+        shut = near.join(of.select(F.col("node").alias("other")), "other").select("node").distinct()
         gone = open_.join(shut, "node", "left_semi").select("id").distinct()
-        open_ = cut(open_.join(gone, "id", "left_anti"))
-        if open_.isEmpty():
+        return cut(open_.join(gone, "id", "left_anti"))
+
+    while True:
+        waiting = None
+        if ahead is not None:
+            live = cut(open_.unionByName(taken).groupBy("node").agg(F.min("id").alias("least")))
+            ahead = ahead.join(live, "node")
+            rank = F.row_number().over(Window.partitionBy("run").orderBy("least", "node"))
+            pivots = cut(ahead.withColumn("rank", rank).where(F.col("rank") <= pivots_a_run).select("run", "node"))
+            ahead = cut(ahead.select("run", "node").join(pivots, ["run", "node"], "left_anti"))
+            pivots_a_run *= 2
+            pairs = pivots.join(hot.withColumnRenamed("node", "other"), "run").where("node <> other and (node & 1) = (other & 1)")
+            pairs = pairs.select(F.pmod("node", F.lit(2)).cast("int").alias("kind"), F.shiftright("node", 1).alias("a"), F.shiftright("other", 1).alias("b"))
+            near = cut(near.unionByName(both_ways(judge(frames, pairs))).distinct())
+            open_ = without_neighbours(taken)
+            front = ahead.join(live, "node").groupBy("run").agg(F.min("least").alias("front"))
+            waiting = cut(ahead.join(front, "run").groupBy("node").agg(F.min("front").alias("front")))
+        while True:
+            least = open_.groupBy(F.col("node").alias("other")).agg(F.min("id").alias("least"))
+            before = near.join(least, "other").groupBy("node").agg(F.min("least").alias("least"))
+            if waiting is not None:
+                before = before.join(waiting, "node", "left").select("node", F.least("least", "front").alias("least"))
+            ready = open_.join(before, "node").groupBy("id").agg(F.min("least").alias("least")).where("least >= id").select("id")
+            now = cut(open_.join(ready, "id", "left_semi"))
+            if waiting is not None and now.isEmpty():
+                break
+            taken = cut(taken.unionByName(now)) if ahead is not None else taken.unionByName(now)
+            open_ = without_neighbours(now)
+            if open_.isEmpty():
+                break
+        if ahead is None or ahead.join(open_.unionByName(taken), "node", "left_semi").isEmpty() and open_.isEmpty():
             break
     kept = near.join(taken.select(F.col("node").alias("other"), F.col("id").alias("kept")), "other")
     kept = kept.groupBy("node").agg(F.min("kept").alias("kept"))
@@ -431,6 +496,18 @@ def reject_repeats(base: DataFrame, links: DataFrame) -> DataFrame:
     return rejected.select("kept_id", F.col("id").alias("out_id"))
 
 
+def rejected_of(frames: DataFrame, base: DataFrame, met: DataFrame) -> DataFrame:
+    """kept_id and out_id, from what ``_met`` gave."""
+    hot = cut(hot_runs(base, met))
+    return reject_repeats(base, cut(matching_classes(frames, base, met)), frames, None if hot.isEmpty() else hot)
+
+
+def leaders(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` with the image only where it is the first of its content, and outputs likewise."""
+    first = base.select("id", (F.col("image_class") == F.col("id")).alias("i"), (F.col("vector_class") == F.col("id")).alias("v"))
+    return rows.join(first, "id").select("id", "batch", F.when(F.col("i"), F.col("image")).alias("image"), F.when(F.col("v"), F.col("outputs")).alias("outputs"))
+
+
 def dedupe_batches(frames: DataFrame, key: str = "out_id", suffixes_per_shard: int = 400_000) -> DataFrame:
     """One row per rejected frame: kept_id (the smallest accepted frame that it matches) and out_id.
 
@@ -445,8 +522,8 @@ def dedupe_batches(frames: DataFrame, key: str = "out_id", suffixes_per_shard: i
     base = cut(classes(rows))
     shards = shard_count(base.count(), suffixes_per_shard)
     sizes = rows.mapInArrow(_sizes(shards), "kind int, shard int, n bigint")
-    met = _met(rows.mapInArrow(_pack(shards), _PACKED), sizes, shards, suffixes_per_shard)
-    return reject_repeats(base, cut(matching_classes(rows, base, met)))
+    met = cut(_met(leaders(rows, base).mapInArrow(_pack(shards), _PACKED), sizes, shards, suffixes_per_shard))
+    return rejected_of(rows, base, met)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -507,14 +584,14 @@ class AcceptedIndex:
         )
         old = self._read("frames", "id bigint, image string, outputs array<float>")
         known = self._read("segments", _PACKED)
-        packed = cut(rows.mapInArrow(_pack(shards), _PACKED))
+        packed = cut(leaders(rows, classes(rows)).mapInArrow(_pack(shards), _PACKED))
         history = known.withColumn("batch", F.lit(HISTORY))
         sizes = packed.unionByName(known).select("kind", "shard", "n")
         met = cut(_met(packed.unionByName(history), sizes, shards, self.suffixes_per_shard))
-        touched = met.select(F.col("lo").alias("id")).distinct()
+        touched = met.select(F.when(F.col("kind") < 0, F.col("hi")).otherwise(F.col("lo")).alias("id")).distinct()
         seen = cut(old.join(touched, "id", "left_semi").unionByName(rows.drop("batch")))
         base = cut(classes(seen))
-        rejected = cut(reject_repeats(base, cut(matching_classes(seen, base, met))))
+        rejected = cut(rejected_of(seen, base, met))
         kept = cut(rows.join(rejected.select(F.col("out_id").alias("id")), "id", "left_anti"))
         n, s = kept.count(), self.state["next"]
         if n:

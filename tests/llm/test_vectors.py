@@ -235,6 +235,44 @@ def test_hot_shards_are_split(spark):
     assert {(r.kept_id, r.out_id) for r in dedupe_batches(df, suffixes_per_shard=300).collect()} == plain_dedupe(rows)
 
 
+def noisy_copies(seed, n, changed):
+    """Different images of one place: a few pixels of the first are a level off."""
+    rng = np.random.default_rng(seed)
+    base, seen = rng.integers(1, 15, 64), {}
+    seen["".join(f"{v:x}" for v in base)] = None
+    while len(seen) < n:
+        levels = base.copy()
+        levels[rng.choice(64, changed, replace=False)] += rng.choice([-1, 1], changed)
+        seen["".join(f"{v:x}" for v in levels)] = None
+    return [(k, 1, image, None, "i", 0, 0) for k, image in enumerate(seen, 1)]
+
+
+def test_a_hot_place_loses_no_suffixes(spark):
+    """20,000 different images in one batch, all near-identical to the first: many share each suffix."""
+    df = spark.createDataFrame(noisy_copies(4, 20_000, 4), FRAMES).repartition(4)
+    assert {(r.kept_id, r.out_id) for r in dedupe_batches(df).collect()} == {(1, k) for k in range(2, 20_001)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_runs_in_rounds(spark, seed, monkeypatch):
+    """Rounds of pivots decide as the pairs do: frames are accepted and rejected in one run, by image or by vector."""
+    rng = np.random.default_rng(seed)
+    rows = random_frames(seed, 200)
+    near = [r[1:] for r in noisy_copies(seed, 60, 12)]
+    far = [(*r[:1], "".join(f"{(int(c, 16) + 2 * int(rng.random() < 0.08)) % 16:x}" for c in r[1]), *r[2:]) for r in near]
+    ids = iter(rng.permutation(400).tolist())
+    rows = [(next(ids), *r) for r in near + far + [r[1:] for r in rows]]
+    base = spark.createDataFrame(rows, FRAMES).repartition(2)
+    frames = base.selectExpr("cast(out_id as bigint) id", "image", "outputs")
+    named = batches.cut(batches.classes(frames))
+    met = named.selectExpr("explode(array(struct(-2 as kind, image_class as hi), struct(-1 as kind, vector_class as hi))) as m")
+    met = met.selectExpr("m.kind", "cast(m.hi % 3 as bigint) lo", "m.hi").where("hi is not null")
+    met = met.unionByName(met.selectExpr("kind", "cast(10 + hi % 2 as bigint) lo", "hi")).unionByName(met.selectExpr("kind", "cast(20 as bigint) lo", "hi"))
+    monkeypatch.setattr(batches, "FIRST_PIVOTS", 3)
+    got = {(r.kept_id, r.out_id) for r in batches.rejected_of(frames, named, met).collect()}
+    assert got == plain_dedupe(rows)
+
+
 def test_readable_vectors():
     x, rows = readable_vectors(pa.array([[1.0, 2.0], *bad_vectors(2), [3.0, 0.0]], pa.list_(pa.float32())), 2)
     assert rows.tolist() == [0, 8] and x.tolist() == [[1, 2], [3, 0]]
