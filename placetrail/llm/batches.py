@@ -13,6 +13,10 @@ compared exactly. Of exact copies only the first one gets suffixes, so that a fr
 suffix set. A run of more than HOT contents with the same symbols gives its members, not their pairs: rounds compare its
 first live members with all of it, so that a hot place costs accepted times delivered frames, not the square of these.
 
+Suffixes alone miss images with much noise. Of 64 pixels in five fixed blocks at most four may differ by more than one
+level, so that two near-identical images agree within one level on a whole block. Each block is split at levels of its
+pixels, images of just that level going to both sides, so that no such pair is parted: this path misses none.
+
 Acceptance: all frames with the same image, and all with the same vector, form classes; in a class at most one frame is
 accepted. Rounds over the few frames whose class has a copy or a match accept every frame that no undecided frame
 before it matches, and reject what matches them.
@@ -40,10 +44,13 @@ BLOCK_ROWS = 16384
 IMAGE, VECTOR = 0, 1
 #: kind: (views, stride of the starts, symbols that a match shares, width of a cell)
 TEXT = {IMAGE: (8, 8, 12, 5.0), VECTOR: (4, 8, 19, 0.05)}
-#: kind: how many suffixes of a pair must match before its contents are compared
-COVERAGE = {IMAGE: 2, VECTOR: 3}
+#: kind: how many suffixes of a pair must match before its contents are compared; images that meet less are met by blocks
+COVERAGE = {IMAGE: 2, VECTOR: 1}
 _ORDERS = np.stack([np.random.default_rng(s).permutation(PIXELS) for s in range(8)])
 HISTORY = -(1 << 62)
+_BLOCKS = np.array_split(_ORDERS[0], PIXELS - MIN_CLOSE + 1)
+#: Images below which a block's leaf is not split, and above which one that can't be split is a hot run.
+LEAF, HOT_LEAF = 200, 1024
 #: Of a unit vector in 16-bit steps: no distance of two is off by more.
 _BRIEF_ERROR = 3e-4
 _PACKED = "shard int, kind int, batch bigint, n bigint, keys binary, ids binary"
@@ -131,7 +138,8 @@ def _pack(shards: int):
             first = _contents_of(values[order])
             at = order[first]
             keys, shard = _keys_and_shards(values[at], kind, shards)
-            n = keys.shape[1]
+            unused = np.uint64(3 * (SYMBOLS - TEXT[kind][2]))  # a match takes no notice of the symbols after it
+            keys, n = keys >> unused << unused, keys.shape[1]
             keys, who = keys.ravel(), np.repeat(rows[at], n)
             shard = shard.ravel()
             group = np.lexsort((keys, batch[who], shard))
@@ -326,6 +334,86 @@ def _covered(t: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(keep), kind, np.int32)), "lo": lo[keep], "hi": hi[keep]})
 
 
+def _route(bits: int, levels: list[int]):
+    """Images (id, image) to packed rows of a block and the sides of ``levels`` on which its first ``bits`` pixels lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            image, ok = decode_images(b["image"])
+            ids, image = b["id"].to_numpy()[ok], image[ok]
+            out: list[tuple] = []
+            for block, pixels in enumerate(_BLOCKS):
+                who, code = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+                for p in pixels[:bits]:
+                    low, high = image[who, p] <= levels[p], image[who, p] >= levels[p]
+                    who, code = np.r_[who[low], who[high]], np.r_[code[low] * 2, code[high] * 2 + 1]
+                order = np.argsort(code, kind="stable")
+                who, code = who[order], code[order]
+                for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1) if len(code) else []:
+                    x = image[who[part]]
+                    out.append((block, int(code[part[0]]), _planes(ids[who[part]]), (x[:, ::2] << 4 | x[:, 1::2]).tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("block", "code", "ids", "images"), r)) for r in out], pa.schema(
+                [("block", pa.int32()), ("code", pa.int32()), ("ids", pa.binary()), ("images", pa.binary())]
+            ))
+
+    return run
+
+
+def _leaves(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Sets of rows such that any two rows that differ by at most one everywhere are together in one of them."""
+    stack, step = [np.arange(len(x))], 16 * np.arange(x.shape[1])
+    while stack:
+        rows = stack.pop()
+        m = len(rows)
+        if m <= LEAF:
+            yield rows
+            continue
+        v = x[rows]
+        below = np.bincount((v + step).ravel(), minlength=16 * x.shape[1]).reshape(-1, 16).cumsum(axis=1)
+        cost = below[:, 1:].astype(float) ** 2 + (m - below[:, :-1]).astype(float) ** 2
+        p, k = divmod(int(cost.argmin()), 15)
+        if cost[p, k] > 0.8 * m * m:
+            yield rows
+            continue
+        stack += [rows[v[:, p] <= k + 1], rows[v[:, p] >= k + 1]]
+
+
+def _within(t: pa.Table) -> pa.Table:
+    """One block and route: near-identical images (kind, lo, hi) that agree on the block; hot leaves as hot runs."""
+    block, code = t["block"][0].as_py(), t["code"][0].as_py()
+    ids, first = np.unique(_from_planes(t["ids"].to_pylist(), np.int64), return_index=True)
+    raw = np.frombuffer(b"".join(t["images"].to_pylist()), np.uint8).reshape(-1, PIXELS // 2)[first]
+    image = np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, PIXELS)
+    x = np.ascontiguousarray(image[:, _BLOCKS[block]].astype(np.int8))
+    kind, lo, hi = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, rows in enumerate(_leaves(x)):
+        if len(rows) > HOT_LEAF:
+            kind.append(np.full(len(rows), IMAGE - 2, np.int32))
+            lo.append(np.full(len(rows), 1 << 62 | block << 56 | code << 32 | k, np.int64))
+            hi.append(ids[rows])
+            continue
+        v = x[rows].T
+        near = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+        for c in v:
+            near &= np.abs(c[:, None] - c[None, :]) <= 1
+        a, b = np.nonzero(near)
+        good = close_pixels(image[rows[a]], image[rows[b]]) >= MIN_CLOSE
+        a, b = ids[rows[a[good]]], ids[rows[b[good]]]
+        kind.append(np.full(len(a), IMAGE, np.int32))
+        lo.append(np.minimum(a, b))
+        hi.append(np.maximum(a, b))
+    return pa.table({"kind": np.concatenate(kind), "lo": np.concatenate(lo), "hi": np.concatenate(hi)})
+
+
+def met_in_blocks(images: DataFrame, n: int, route_rows: int = 50_000) -> DataFrame:
+    """All pairs of near-identical images (id, image), as ``_met`` gives pairs and hot runs. ``n``: about how many there are."""
+    bits = min(12, max(3, (n // route_rows).bit_length()))
+    sample, ok = decode_images(pa.array([r.image for r in images.select("image").where("image is not null").limit(2000).collect()], pa.string()))
+    levels = np.median(sample[ok], axis=0).astype(int).tolist() if ok.any() else [8] * PIXELS  # any level will do; these halve
+    packed = images.select("id", "image").mapInArrow(_route(bits, levels), "block int, code int, ids binary, images binary")
+    return packed.groupBy("block", "code").applyInArrow(_within, "kind int, lo bigint, hi bigint")
+
+
 def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, and digests of the image and of the vector, null where unreadable."""
     for b in batches:
@@ -520,10 +608,13 @@ def dedupe_batches(frames: DataFrame, key: str = "out_id", suffixes_per_shard: i
         F.col(key).cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("bigint"), F.lit(-1)).alias("batch"), "image", "outputs"
     )
     base = cut(classes(rows))
-    shards = shard_count(base.count(), suffixes_per_shard)
+    n = base.count()
+    shards = shard_count(n, suffixes_per_shard)
     sizes = rows.mapInArrow(_sizes(shards), "kind int, shard int, n bigint")
-    met = cut(_met(leaders(rows, base).mapInArrow(_pack(shards), _PACKED), sizes, shards, suffixes_per_shard))
-    return rejected_of(rows, base, met)
+    met = _met(leaders(rows, base).mapInArrow(_pack(shards), _PACKED), sizes, shards, suffixes_per_shard)
+    firsts = base.where("id = image_class").select("id")
+    images = rows.select("id", "image").join(firsts, "id", "left_semi")
+    return rejected_of(rows, base, cut(met.unionByName(met_in_blocks(images, n)).distinct()))
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -587,7 +678,9 @@ class AcceptedIndex:
         packed = cut(leaders(rows, classes(rows)).mapInArrow(_pack(shards), _PACKED))
         history = known.withColumn("batch", F.lit(HISTORY))
         sizes = packed.unionByName(known).select("kind", "shard", "n")
-        met = cut(_met(packed.unionByName(history), sizes, shards, self.suffixes_per_shard))
+        met = _met(packed.unionByName(history), sizes, shards, self.suffixes_per_shard)
+        images = old.select("id", "image").unionByName(rows.select("id", "image"))
+        met = cut(met.unionByName(met_in_blocks(images, sum(n for _, n in self.state["live"]))))
         touched = met.select(F.when(F.col("kind") < 0, F.col("hi")).otherwise(F.col("lo")).alias("id")).distinct()
         seen = cut(old.join(touched, "id", "left_semi").unionByName(rows.drop("batch")))
         base = cut(classes(seen))

@@ -273,6 +273,28 @@ def test_hot_runs_in_rounds(spark, seed, monkeypatch):
     assert got == plain_dedupe(rows)
 
 
+def test_the_worst_noise_allowed(spark):
+    """All pixels a level off and four changed: every such pair is found."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(0, 1600, 2):
+        a = rng.integers(1, 15, 64)
+        b = a + rng.choice([-1, 1], 64)
+        b[rng.choice(64, 4, replace=False)] = rng.integers(0, 16, 4)
+        rows += [(k + e, 0, "".join(f"{v:x}" for v in x), None, "i", 0, 0) for e, x in enumerate((a, b))]
+    df = spark.createDataFrame(rows, FRAMES).repartition(2)
+    assert {(r.kept_id, r.out_id) for r in dedupe_batches(df).collect()} == {(k, k + 1) for k in range(0, 1600, 2)}
+
+
+def test_leaves_part_no_near_rows():
+    x = np.random.default_rng(7).integers(0, 16, (3000, 4))
+    together = np.zeros((len(x), len(x)), bool)
+    for rows in batches._leaves(x):
+        together[np.ix_(rows, rows)] = True
+    near = (np.abs(x[:, None] - x[None]) <= 1).all(axis=2)
+    assert together[near].all() and together.mean() < 0.3
+
+
 def test_readable_vectors():
     x, rows = readable_vectors(pa.array([[1.0, 2.0], *bad_vectors(2), [3.0, 0.0]], pa.list_(pa.float32())), 2)
     assert rows.tolist() == [0, 8] and x.tolist() == [[1, 2], [3, 0]]
