@@ -88,6 +88,12 @@ def chunk_union(spark: SparkSession, d: str) -> DataFrame:
     return chunks.union_chunks(_frames(spark, d), preset).select(F.col("pos").alias("vec_id"), "chunk", "i")
 
 
+@query("SELECT vec_id, vec_id // 100 AS chunk, vec_id % 100 AS i FROM embeddings WHERE vec_id // 100 <> 2")
+def chunk_union_all(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks of the table but the hole; ``chunk_union`` takes the first four only."""
+    return chunks.union_chunks(_frames(spark, d), Preset(excluded_chunks=(2,))).select(F.col("pos").alias("vec_id"), "chunk", "i")
+
+
 @query("""
 SELECT seq, count(*) AS n_frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame
 FROM (SELECT DISTINCT out_id, seq, frame_idx FROM descriptor WHERE seq IS NOT NULL) GROUP BY seq""")

@@ -98,3 +98,11 @@ def test_chunks(spark):
     assert got(inclusive) == [(c, i, c * 5 + 1 + i) for c in (0, 1) for i in range(6)]
     assert got(inclusive.but(drop_partial=False))[-1] == (2, 0, 11)
     assert got(inclusive.but(chunk_mode="half_open")) == [(c, i, c * 5 + 1 + i) for c in (0, 1, 2) for i in range(5) if c * 5 + 1 + i < 12]
+
+
+def test_union_of_all_chunks_grows_with_the_table(spark, data):
+    from placetrail.plans.core_queries import QUERIES
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    got = [r.vec_id for r in QUERIES["chunk_union_all"](spark, data).collect()]
+    assert sorted(got) == sorted(v for v in ids if v // 100 != 2) and max(got) >= 400
