@@ -29,6 +29,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@functools.lru_cache(maxsize=8)
+def rotation(width: int, seed: int) -> np.ndarray:
+    """A random rotation in double precision, the same in every process."""
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))[0]
+
+
 @functools.lru_cache(maxsize=8)
 def _rotations(width: int, count: int, seed: int) -> np.ndarray:
     """``count`` random rotations side by side, the same in every process."""
