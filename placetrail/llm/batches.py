@@ -1,21 +1,17 @@
 """Deduplicating frames batch by batch against everything accepted before (problem 4), with suffix arrays.
 
-Text: an image is 64 symbols (its levels around their trimmed mean, in coarse cells), a vector likewise (its unit vector
-in coarse cells), each in a few views with another order of the symbols and another phase of the cells; a view of a frame
-is one word of the text, read around. Suffixes start at every few symbols; 19 symbols and the view and start are packed
-into one integer, so that the order of the integers is the order of the suffixes.
-
-Suffixes go to shards by the symbols that a match must share, packed into one row per task and shard. In a shard the
-batches are replayed: each batch's sorted suffixes are an immutable segment, its own suffixes are searched by bisection
-in the segments of the batches before and in itself, and segments of like size are merged, so that there are never
-more than a logarithm of them. What two frames share is added up over all shards (coverage); pairs with enough of it are
-compared exactly. Of exact copies only the first one gets suffixes, so that a frame delivered a million times is one
-suffix set. A run of more than HOT contents with the same symbols gives its members, not their pairs: rounds compare its
-first live members with all of it, so that a hot place costs accepted times delivered frames, not the square of these.
-
-Suffixes alone miss images with much noise. Of 64 pixels in five fixed blocks at most four may differ by more than one
-level, so that two near-identical images agree within one level on a whole block. Each block is split at levels of its
-pixels, images of just that level going to both sides, so that no such pair is parted: this path misses none.
+Text: an image is 64 symbols, its levels; a vector is 64 symbols, the cells of its turned unit vector. Near-identical
+images differ by more than one level in at most four symbols, so one of five suffixes begins with a stretch in which all
+symbols are within one. Vectors within the limit have one of four suffixes that begins with 16 cells within one, as the
+squared distance is the sum of that of four stretches. A match of that length is looked for in sorted suffixes by
+bisection (see ``suffixes``); its coverage is then counted over the whole texts. So no pair is left to chance.
+
+Suffixes go to leaves of a tree that splits them at symbols of that stretch, those at a split going to both sides, so
+that no match is parted; the tree is fitted on a bounded sample, all frames are routed. In a leaf the batches are
+replayed: each batch's suffix arrays are immutable segments, searched by the batches after it and merged when of like
+size. Of exact copies only the first one has suffixes. What a hot text covers gets no place in a segment, so that a hot
+place costs accepted times delivered frames; should such a frame be accepted after all, because its leader is rejected,
+it is looked up in all leaves by itself, until every accepted frame has met all others.
 
 Acceptance: all frames with the same image, and all with the same vector, form classes; in a class at most one frame is
 accepted. Rounds over the few frames whose class has a copy or a match accept every frame that no undecided frame
@@ -26,577 +22,389 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetrail.functions.images import PIXELS, close_pixels, decode_images
-from placetrail.functions.vectors import readable_vectors, unit
+from placetrail.functions.images import PIXELS, decode_images
+from placetrail.functions.vectors import readable_vectors, rotation, unit
+from placetrail.llm.suffixes import SuffixArray, matches, replay
 from placetrail.plans.session import cut
+from placetrail.sources.snapshots import ConflictError
 
 MIN_CLOSE = 60
 MAX_DISTANCE = 0.03
-SYMBOLS = 19  # of three bits in a key, below seven bits for view and start
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 32768
 IMAGE, VECTOR = 0, 1
-#: kind: (views, stride of the starts, symbols that a match shares, width of a cell)
-TEXT = {IMAGE: (8, 8, 12, 5.0), VECTOR: (4, 8, 19, 0.05)}
-#: kind: how many suffixes of a pair must match before its contents are compared; images that meet less are met by blocks
-COVERAGE = {IMAGE: 2, VECTOR: 1}
-_ORDERS = np.stack([np.random.default_rng(s).permutation(PIXELS) for s in range(8)])
-HISTORY = -(1 << 62)
-_BLOCKS = np.array_split(_ORDERS[0], PIXELS - MIN_CLOSE + 1)
-#: Images below which a block's leaf is not split, and above which one that can't be split is a hot run.
-LEAF, HOT_LEAF = 200, 1024
-#: Of a unit vector in 16-bit steps: no distance of two is off by more.
-_BRIEF_ERROR = 3e-4
-_PACKED = "shard int, kind int, batch bigint, n bigint, keys binary, ids binary"
-#: Contents from which a run is hot, and members of each hot run that the first round compares with all of it.
-HOT, FIRST_PIVOTS = 256, 16
-
-
-def suffix_keys(values: np.ndarray, kind: int) -> np.ndarray:
-    """The packed suffixes of each row: rows x (views * starts), uint64."""
-    views, stride, _, cell = TEXT[kind]
-    starts = np.arange(0, PIXELS, stride)
-    out = []
-    for v in range(views):
-        symbols = np.clip(np.floor(values / cell + v / views) + 4, 0, 7).astype(np.uint64)[:, _ORDERS[v]]
-        around = np.concatenate([symbols, symbols[:, :SYMBOLS]], axis=1)
-        key = np.zeros((len(values), len(starts)), np.uint64)
-        for k in range(SYMBOLS):
-            key = (key << np.uint64(3)) | around[:, starts + k]
-        code = (v * len(starts) + np.arange(len(starts))).astype(np.uint64)
-        out.append((code[None, :] << np.uint64(57)) | key)
-    return np.concatenate(out, axis=1)
-
-
-def _centred(image: np.ndarray) -> np.ndarray:
-    """Levels around the mean of the middle 48: a frame that is a level brighter throughout has the same values."""
-    return image - np.sort(image, axis=1)[:, 8:56].mean(axis=1, keepdims=True)
-
-
-def _planes(values: np.ndarray, rising: bool = False) -> bytes:
-    """Integers as steps (if they rise), byte plane by byte plane, compressed; the leading planes shrink to nothing."""
-    if rising:
-        values = np.diff(values, prepend=values.dtype.type(0))
-    width = values.dtype.itemsize
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _from_planes(parts: list[bytes], dtype: type, rising: bool = False) -> np.ndarray:
-    width, out = np.dtype(dtype).itemsize, [np.zeros(0, dtype)]
-    for p in parts:
-        n = int.from_bytes(p[:8], "little")
-        raw = np.frombuffer(pa.decompress(p[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
-        values = np.ascontiguousarray(raw.T).view(dtype).ravel()
-        out.append(np.cumsum(values, dtype=dtype) if rising else values)
-    return np.concatenate(out)
-
-
-def _contents_of(values: np.ndarray) -> np.ndarray:
-    """The different rows of an array: the place of the first row of each content."""
-    raw = np.ascontiguousarray(values).view(np.dtype((np.void, values.dtype.itemsize * values.shape[1]))).ravel()
+_ORDER = np.random.default_rng(0).permutation(PIXELS)
+#: kind: (start, length of the match) of each suffix that a match may begin with
+STARTS = {
+    IMAGE: [(int(p[0]), len(p)) for p in np.array_split(np.arange(PIXELS), PIXELS - MIN_CLOSE + 1)],
+    VECTOR: [(s, 16) for s in range(0, PIXELS, 16)],
+}
+#: Side of a vector's cell: of four stretches one has at most a quarter of the squared distance; a little more for rounding.
+_CELL = MAX_DISTANCE / 2 + 1e-6
+#: Behind the symbols of a vector the place within its cells in 16 steps, two a byte; distances are off by no more than this.
+_STEPS, _BRIEF_ERROR = 16, 8 * _CELL / 16
+#: Bound of the sample that the routes are fitted on.
+MAX_SAMPLE = 65536
+_PACKED = "kind int, block int, leaf int, batch bigint, n bigint, ids binary, texts binary"
+_MET = "kind int, lo bigint, hi bigint, left_out boolean"
+#: Of each hot text, frames that may be looked up by themselves in one round.
+ASKED_A_LEADER = 16
+
+
+def texts_of(values: np.ndarray, kind: int) -> np.ndarray:
+    """The text of each image (levels) or vector (cells, and the place within them), uint8."""
+    if kind == IMAGE:
+        return values[:, _ORDER]
+    cell = unit(values) @ rotation(PIXELS, 21) / _CELL + 128
+    whole = np.floor(cell)
+    fine = np.minimum((cell - whole) * _STEPS, _STEPS - 1).astype(np.uint8)
+    return np.concatenate([np.clip(whole, 1, 254).astype(np.uint8), fine[:, ::2] << 4 | fine[:, 1::2]], axis=1)
+
+
+def suffix_of(texts: np.ndarray, start: int) -> np.ndarray:
+    """The texts read around from ``start`` (even for vectors, whose places within cells are two a byte)."""
+    return np.concatenate([np.roll(texts[:, :PIXELS], -start, axis=1), np.roll(texts[:, PIXELS:], -start // 2, axis=1)], axis=1)
+
+
+def _covers(kind: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def images(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a - b + np.uint8(1) <= 2).sum(axis=1) >= MIN_CLOSE  # modulo 256
+
+    def vectors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        step = a[:, :PIXELS].astype(np.int16) - b[:, :PIXELS]
+        apart = np.maximum(np.abs(step) - 1, 0)
+        good = (apart * apart).sum(axis=1) <= (MAX_DISTANCE / _CELL) ** 2
+        at = np.flatnonzero(good)
+        fine = np.empty((len(at), PIXELS), np.int16)
+        x, y = a[at, PIXELS:], b[at, PIXELS:]
+        fine[:, ::2] = (x >> 4).astype(np.int16) - (y >> 4)
+        fine[:, 1::2] = (x & 15).astype(np.int16) - (y & 15)
+        d = (step[at] * _STEPS + fine) * (_CELL / _STEPS)
+        good[at] = np.sqrt((d * d).sum(axis=1)) <= MAX_DISTANCE + _BRIEF_ERROR
+        return good
+
+    return images if kind == IMAGE else vectors
+
+
+def _unique_rows(x: np.ndarray) -> np.ndarray:
+    """The place of the first row of each content."""
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     return np.unique(raw, return_index=True)[1]
 
 
-def _keys_and_shards(values: np.ndarray, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = suffix_keys(_centred(values.astype(float)) if kind == IMAGE else unit(values), kind)
-    shared = keys >> np.uint64(3 * (SYMBOLS - TEXT[kind][2]))
-    return keys, ((shared * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)
+def _squeeze(values: np.ndarray) -> bytes:
+    """Compressed, column by column."""
+    return pa.compress(np.ascontiguousarray(values.T).tobytes(), "zstd", asbytes=True)
 
 
-def _sizes(shards: int):
-    """How many suffixes each shard gets: kind, shard, n (copies within an Arrow batch once)."""
+def _expand(raw: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, shards), np.int64)
-        for b in batches:
-            image, ok = decode_images(b["image"])
-            for kind, values in ((IMAGE, image[ok]), (VECTOR, readable_vectors(b["outputs"], PIXELS)[0])):
-                if len(values):
-                    first = _contents_of(values)
-                    n[kind] += np.bincount(_keys_and_shards(values[first], kind, shards)[1].ravel().astype(np.int64), minlength=shards)
-        kind, shard = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(n[kind, shard])], names=["kind", "shard", "n"])
 
-    return run
+def _contents_of(t: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """kind, rows and texts of the readable images and of the readable vectors, copies once (the smallest id)."""
+    image, ok = decode_images(t["image"])
+    x, x_rows = readable_vectors(t["outputs"], PIXELS)
+    ids = t["id"].to_numpy()
+    for kind, values, rows in ((IMAGE, image[ok], np.flatnonzero(ok)), (VECTOR, x, x_rows)):
+        if len(rows):
+            order = np.argsort(ids[rows], kind="stable")
+            at = order[_unique_rows(values[order])]
+            yield kind, rows[at], texts_of(values[at], kind)
+
+
+class Routes:
+    """For each suffix a tree of splits (symbol, level, where to go below and above) down to numbered leaves."""
+
+    def __init__(self, trees: dict[str, list[list[int]]]):
+        self.trees = trees
+
+    @staticmethod
+    def fitted(texts: dict[int, np.ndarray], most: float) -> Routes:
+        """From a sample of texts: leaves of at most ``most`` of them, as far as their symbols tell them apart."""
+        trees = {}
+        for kind, starts in STARTS.items():
+            for block, (start, length) in enumerate(starts):
+                x = suffix_of(texts[kind], start)[:, :length].astype(np.int64)
+                nodes: list[list[int]] = [[-1, 0, 1, 0]]
+                stack, leaves = [(0, np.arange(len(x)))], 0
+                while stack:
+                    node, rows = stack.pop()
+                    m, v = len(rows), x[rows]
+                    low = high = rows
+                    if m > most:
+                        below = np.bincount((v + 256 * np.arange(length)).ravel(), minlength=256 * length).reshape(-1, 256).cumsum(axis=1)
+                        cost = below[:, 1:].astype(float) ** 2 + (m - below[:, :-1]).astype(float) ** 2
+                        p, level = divmod(int(cost.argmin()), 255)
+                        if cost[p, level] <= 0.8 * m * m:
+                            level += 1
+                            low, high = rows[v[:, p] <= level], rows[v[:, p] >= level]
+                            nodes[node] = [p, level, len(nodes), len(nodes) + 1]
+                            stack += [(len(nodes), low), (len(nodes) + 1, high)]
+                            nodes += [[-1, 0, 1, 0], [-1, 0, 1, 0]]
+                            continue
+                    nodes[node] = [-1, leaves, max(1, min(1000, round(m / most))), 0]
+                    leaves += 1
+                trees[f"{kind}/{block}"] = nodes
+        return Routes(trees)
+
+    def leaves(self, suffixes: np.ndarray, kind: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row and leaf of each place that a suffix has. A leaf of many parts is one for each pair of its parts."""
+        nodes = self.trees[f"{kind}/{block}"]
+        rows_out, leaf_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        stack = [(0, np.arange(len(suffixes)))]
+        while stack:
+            node, rows = stack.pop()
+            p, a, b, c = nodes[node]
+            if not len(rows):
+                continue
+            if p >= 0:
+                v = suffixes[rows, p]
+                stack += [(b, rows[v <= a]), (c, rows[v >= a])]
+                continue
+            mix = np.random.default_rng(5).integers(1, 1 << 62, suffixes.shape[1]).astype(np.uint64)
+            own = ((suffixes[rows].astype(np.uint64) @ mix) >> np.uint64(33)).astype(np.int64) % b
+            for other in range(b):
+                rows_out.append(rows)
+                leaf_out.append(a << 20 | np.minimum(own, other) << 10 | np.maximum(own, other))
+        return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
-def _pack(shards: int):
-    """Frames (id, batch, image, vector) to packed suffixes, copies within a block once."""
+def fit_routes(rows: DataFrame, leaf_rows: int, planned_rows: int = 0) -> Routes:
+    """Routes to leaves of about ``leaf_rows`` suffixes of ``planned_rows`` frames (those there are, if these are more).
 
-    def block(ids, batch, image, image_rows, x, x_rows) -> Iterator[pa.RecordBatch]:
-        for kind, values, rows in ((IMAGE, image, image_rows), (VECTOR, x, x_rows)):
-            if not len(rows):
-                continue
-            order = np.argsort(ids[rows], kind="stable")
-            first = _contents_of(values[order])
-            at = order[first]
-            keys, shard = _keys_and_shards(values[at], kind, shards)
-            unused = np.uint64(3 * (SYMBOLS - TEXT[kind][2]))  # a match takes no notice of the symbols after it
-            keys, n = keys >> unused << unused, keys.shape[1]
-            keys, who = keys.ravel(), np.repeat(rows[at], n)
-            shard = shard.ravel()
-            group = np.lexsort((keys, batch[who], shard))
-            keys, who, shard = keys[group], who[group], shard[group].astype(np.int32)
-            b = batch[who]
-            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (b[1:] != b[:-1])])
-            ends = np.r_[cuts[1:], len(keys)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shard[cuts]),
-                    pa.array(np.full(len(cuts), kind, np.int32)),
-                    pa.array(b[cuts]),
-                    pa.array((ends - cuts).astype(np.int64)),
-                    pa.array([_planes(keys[s:e], rising=True) for s, e in zip(cuts, ends)], pa.binary()),
-                    pa.array([_planes(ids[who[s:e]]) for s, e in zip(cuts, ends)], pa.binary()),
-                ],
-                names=[c.split()[0] for c in _PACKED.split(", ")],
-            )
+    They are fitted on a sample by hash of at most about MAX_SAMPLE frames.
+    """
+    n = rows.count()
+    planned = max(n, planned_rows, 1)
+    wanted = min(MAX_SAMPLE, max(4096, 64 * -(-planned // leaf_rows)))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, _, texts in _contents_of(b):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([texts.tobytes()])], names=["kind", "texts"])
+
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // wanted))) == 0)
+    got = some.select("id", "image", "outputs").mapInArrow(sample, "kind int, texts binary").collect()  # bounded
+    widths = {IMAGE: PIXELS, VECTOR: PIXELS + PIXELS // 2}
+    texts = {k: np.frombuffer(b"".join(r.texts for r in got if r.kind == k), np.uint8).reshape(-1, w) for k, w in widths.items()}
+    return Routes.fitted(texts, max(8.0, leaf_rows * min(n, wanted) / planned))
+
+
+def _pack(routes: Routes):
+    """Frames (id, batch, image, outputs) to packed suffixes, copies within a block of rows once."""
+
+    def block_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, batch = t["id"].to_numpy(), t["batch"].to_numpy()
+        for kind, rows, texts in _contents_of(t):
+            out: list[list] = [[] for _ in _PACKED.split(", ")]
+            for block, (start, _) in enumerate(STARTS[kind]):
+                suffixes = suffix_of(texts, start)
+                at, leaf = routes.leaves(suffixes, kind, block)
+                who = rows[at]
+                by = np.lexsort((suffixes[at, 1], suffixes[at, 0], batch[who], leaf))
+                at, leaf, who = at[by], leaf[by], who[by]
+                new = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (batch[who[1:]] != batch[who[:-1]])])
+                for s, e in zip(new, np.r_[new[1:], len(at)]):
+                    x = suffixes[at[s:e]]
+                    if kind == IMAGE:
+                        x = x[:, ::2] << 4 | x[:, 1::2]
+                    own = np.ascontiguousarray(ids[who[s:e]]).view(np.uint8).reshape(-1, 8)
+                    for column, v in zip(out, (kind, block, int(leaf[s]), int(batch[who[s]]), int(e - s), _squeeze(own), _squeeze(x))):
+                        column.append(v)
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, c) for v, c in zip(out, types)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            image, ok = decode_images(t["image"])
-            x, x_rows = readable_vectors(t["outputs"], PIXELS)
-            image_rows = np.flatnonzero(ok)
-            yield from block(t["id"].to_numpy(), t["batch"].to_numpy(), image[image_rows], image_rows, x, x_rows)
-
         for b in batches:
             held.append(b)
             if sum(h.num_rows for h in held) >= BLOCK_ROWS:
-                yield from flush()
+                yield from block_of(pa.Table.from_batches(held))
                 held = []
         if held:
-            yield from flush()
+            yield from block_of(pa.Table.from_batches(held))
 
     return run
 
 
-def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    offset = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
-    return np.repeat(begin - offset, size) + np.arange(int(size.sum()))
-
-
-def _fresh(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sorted segment in which each id stands once per suffix; different contents have different ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    return keys[first], ids[first]
-
-
-def _replay(pair_shards: int, chunk: int = 2_000_000):
-    """One shard: batch after batch against the segments so far. Emits packed pairs (lo, hi) with how often they met.
-
-    Rows of batch HISTORY are segments of frames accepted earlier: they are searched, but not among themselves. If a
-    shard is split, a task has two of its parts (``side`` 0 and 1) and only meets one with the other; a part by itself
-    (``within``) is met with itself. Members of hot runs are taken out beforehand and emitted with a negative place, the
-    run in lo, the id in hi.
-    """
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("batch")
-        kind, within = t["kind"][0].as_py(), t["p"][0].as_py() == t["q"][0].as_py()
-        shift = np.uint64(3 * (SYMBOLS - TEXT[kind][2]))
-        batch, side = t["batch"].to_numpy(), t["side"].to_numpy()
-        lo_out, hi_out, n_out = [], [], []
-
-        def emit(a: np.ndarray, b: np.ndarray) -> None:
-            pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
-            if len(pair):
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)])
-                lo_out.append(pair[new, 0])
-                hi_out.append(pair[new, 1])
-                n_out.append(np.diff(np.r_[new, len(pair)]))
-
-        def meet(new, old, itself: bool = False) -> None:
-            """All pairs of suffixes that share the needed symbols: new ones with those of a segment, or among themselves."""
-            shared, other = new[0] >> shift, old[0] >> shift
-            left = np.arange(1, len(shared) + 1) if itself else np.searchsorted(other, shared, "left")
-            size = np.searchsorted(other, shared, "right") - left
-            hit = np.flatnonzero(size > 0)
-            ends = np.cumsum(size[hit])
-            s = 0
-            while s < len(hit):  # in pieces of bounded memory, however long a run is
-                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + chunk)))
-                rows = hit[s:e]
-                emit(np.repeat(new[1][rows], size[rows]), old[1][_spans(left[rows], size[rows])])
-                s = e
-
-        def segment(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            part = t.take(pa.array(rows))
-            return _fresh(
-                _from_planes(part["keys"].to_pylist(), np.uint64, rising=True),
-                _from_planes(part["ids"].to_pylist(), np.int64),
-            )
-
-        every = {b: [segment(np.flatnonzero((batch == b) & (side == s))) for s in (0, 1)] for b in np.unique(batch)}
-        runs, n = np.unique(np.concatenate([keys >> shift for new in every.values() for keys, _ in new]), return_counts=True)
-        hot, hot_run, hot_id = runs[n > HOT], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        segments: list[list] = [[], []]
-        for b in list(every):
-            new = every.pop(b)
-            for s, (keys, ids) in enumerate(new if len(hot) else []):
-                out = np.isin(keys >> shift, hot)
-                hot_run.append(keys[out] >> shift)
-                hot_id.append(ids[out])
-                new[s] = keys[~out], ids[~out]
-            if b != HISTORY:
-                if within:
-                    meet(new[0], new[0], itself=True)
-                else:
-                    meet(new[0], new[1])
-                for s in (0, 1):
-                    for old in segments[0 if within else 1 - s]:
-                        meet(new[s], old)
-            for s in (0, 1):
-                held = segments[s]
-                held.append(new[s])
-                while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
-                    x, y = held.pop(-2), held.pop()
-                    held.append(_fresh(*(np.concatenate([c, d]) for c, d in zip(x, y))))
-        none = np.zeros(0, np.int64)
-        lo, hi, n = (np.concatenate([none, *c]) for c in (lo_out, hi_out, n_out))
-        where = ((lo * 1000003 + hi) % pair_shards).astype(np.int32)
-        # a part of a split shard has its own runs; two runs of one number would only be compared with each other too
-        part = np.uint64(t["p"][0].as_py() << 20 | t["q"][0].as_py())
-        run, member = np.concatenate(hot_run), np.concatenate(hot_id)
-        run = ((run ^ (part * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        lo, hi, n = np.r_[lo, run], np.r_[hi, member], np.r_[n, np.zeros(len(run), np.int64)]
-        where = np.r_[where, (-1 - run % pair_shards).astype(np.int32)]
-        order = np.argsort(where, kind="stable")
-        lo, hi, n, where = lo[order], hi[order], n[order].astype(np.int32), where[order]
-        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else none
-        ends = np.r_[cuts[1:], len(where)] if len(cuts) else none
-        return pa.table(
-            {
-                "place": pa.array(where[cuts]),
-                "kind": pa.array(np.full(len(cuts), kind, np.int32)),
-                **{
-                    c: pa.array([_planes(v[s:e]) for s, e in zip(cuts, ends)], pa.binary())
-                    for c, v in (("lo", lo), ("hi", hi), ("n", n))
-                },
-            }
-        )
-
-    return run
-
-
-def _met(packed: DataFrame, sizes: DataFrame, shards: int, suffixes_per_shard: int) -> DataFrame:
-    """Pairs with enough coverage (kind, lo, hi), and members of hot runs (kind less 2, run, id).
-
-    A shard of far more suffixes than planned is split into parts by block.
-    """
-    large = sizes.groupBy("kind", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * suffixes_per_shard)
-    splits = {(r.kind, r.shard): -(-r.n // (2 * suffixes_per_shard)) for r in large.collect()}  # only the hot ones
-    pair = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), side.alias("side"))
-    zero = F.lit(0)
-    meets = F.array(pair(zero, zero, zero))
-    if splits:
-        of = F.create_map(*(F.lit(v) for (k, s), n in splits.items() for v in (f"{k}/{s}", n)))
-        n = F.coalesce(F.element_at(of, F.concat_ws("/", "kind", "shard")), F.lit(1))
-        own = F.pmod(F.xxhash64("ids"), n).cast("int")
-        others = F.sequence(zero, n - 1)
-        many = F.transform(others, lambda o: pair(F.least(own, o), F.greatest(own, o), (own > o).cast("int")))
-        meets = F.when(n == 1, meets).otherwise(many)
-    return (
-        packed.select("*", F.explode(meets).alias("m"))
-        .select("kind", "shard", "batch", "keys", "ids", "m.p", "m.q", "m.side")
-        .groupBy("kind", "shard", "p", "q")
-        .applyInArrow(_replay(shards), "place int, kind int, lo binary, hi binary, n binary")
-        .groupBy("kind", "place")
-        .applyInArrow(_covered, "kind int, lo bigint, hi bigint")
-    )
-
-
-def _covered(t: pa.Table) -> pa.Table:
-    """Packed pairs of one place: those with enough coverage. Of hot runs, all members."""
+def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes, ids and row numbers of ``t``; of equal images the smallest id (equal texts of vectors may be two vectors)."""
     kind = t["kind"][0].as_py()
-    lo, hi, n = (_from_planes(t[c].to_pylist(), d) for c, d in (("lo", np.int64), ("hi", np.int64), ("n", np.int32)))
-    if t["place"][0].as_py() < 0:
-        return pa.table({"kind": pa.array(np.full(len(lo), kind - 2, np.int32)), "lo": lo, "hi": hi})
-    order = np.lexsort((hi, lo))
-    lo, hi, n = lo[order], hi[order], n[order]
-    new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, new) if len(new) else n
-    keep = new[total >= COVERAGE[kind]]
-    return pa.table({"kind": pa.array(np.full(len(keep), kind, np.int32)), "lo": lo[keep], "hi": hi[keep]})
-
-
-def _route(bits: int, levels: list[int]):
-    """Images (id, image) to packed rows of a block and the sides of ``levels`` on which its first ``bits`` pixels lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            image, ok = decode_images(b["image"])
-            ids, image = b["id"].to_numpy()[ok], image[ok]
-            out: list[tuple] = []
-            for block, pixels in enumerate(_BLOCKS):
-                who, code = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-                for p in pixels[:bits]:
-                    low, high = image[who, p] <= levels[p], image[who, p] >= levels[p]
-                    who, code = np.r_[who[low], who[high]], np.r_[code[low] * 2, code[high] * 2 + 1]
-                order = np.argsort(code, kind="stable")
-                who, code = who[order], code[order]
-                for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1) if len(code) else []:
-                    x = image[who[part]]
-                    out.append((block, int(code[part[0]]), _planes(ids[who[part]]), (x[:, ::2] << 4 | x[:, 1::2]).tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("block", "code", "ids", "images"), r)) for r in out], pa.schema(
-                [("block", pa.int32()), ("code", pa.int32()), ("ids", pa.binary()), ("images", pa.binary())]
-            ))
-
-    return run
-
-
-def _leaves(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Sets of rows such that any two rows that differ by at most one everywhere are together in one of them."""
-    stack, step = [np.arange(len(x))], 16 * np.arange(x.shape[1])
-    while stack:
-        rows = stack.pop()
-        m = len(rows)
-        if m <= LEAF:
-            yield rows
-            continue
-        v = x[rows]
-        below = np.bincount((v + step).ravel(), minlength=16 * x.shape[1]).reshape(-1, 16).cumsum(axis=1)
-        cost = below[:, 1:].astype(float) ** 2 + (m - below[:, :-1]).astype(float) ** 2
-        p, k = divmod(int(cost.argmin()), 15)
-        if cost[p, k] > 0.8 * m * m:
-            yield rows
-            continue
-        stack += [rows[v[:, p] <= k + 1], rows[v[:, p] >= k + 1]]
-
-
-def _within(t: pa.Table) -> pa.Table:
-    """One block and route: near-identical images (kind, lo, hi) that agree on the block; hot leaves as hot runs."""
-    block, code = t["block"][0].as_py(), t["code"][0].as_py()
-    ids, first = np.unique(_from_planes(t["ids"].to_pylist(), np.int64), return_index=True)
-    raw = np.frombuffer(b"".join(t["images"].to_pylist()), np.uint8).reshape(-1, PIXELS // 2)[first]
-    image = np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, PIXELS)
-    x = np.ascontiguousarray(image[:, _BLOCKS[block]].astype(np.int8))
-    kind, lo, hi = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, rows in enumerate(_leaves(x)):
-        if len(rows) > HOT_LEAF:
-            kind.append(np.full(len(rows), IMAGE - 2, np.int32))
-            lo.append(np.full(len(rows), 1 << 62 | block << 56 | code << 32 | k, np.int64))
-            hi.append(ids[rows])
-            continue
-        v = x[rows].T
-        near = np.triu(np.ones((len(rows), len(rows)), bool), 1)
-        for c in v:
-            near &= np.abs(c[:, None] - c[None, :]) <= 1
-        a, b = np.nonzero(near)
-        good = close_pixels(image[rows[a]], image[rows[b]]) >= MIN_CLOSE
-        a, b = ids[rows[a[good]]], ids[rows[b[good]]]
-        kind.append(np.full(len(a), IMAGE, np.int32))
-        lo.append(np.minimum(a, b))
-        hi.append(np.maximum(a, b))
-    return pa.table({"kind": np.concatenate(kind), "lo": np.concatenate(lo), "hi": np.concatenate(hi)})
-
-
-def met_in_blocks(images: DataFrame, n: int, route_rows: int = 50_000) -> DataFrame:
-    """All pairs of near-identical images (id, image), as ``_met`` gives pairs and hot runs. ``n``: about how many there are."""
-    bits = min(12, max(3, (n // route_rows).bit_length()))
-    sample, ok = decode_images(pa.array([r.image for r in images.select("image").where("image is not null").limit(2000).collect()], pa.string()))
-    levels = np.median(sample[ok], axis=0).astype(int).tolist() if ok.any() else [8] * PIXELS  # any level will do; these halve
-    packed = images.select("id", "image").mapInArrow(_route(bits, levels), "block int, code int, ids binary, images binary")
-    return packed.groupBy("block", "code").applyInArrow(_within, "kind int, lo bigint, hi bigint")
-
-
-def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, and digests of the image and of the vector, null where unreadable."""
+    width = PIXELS // 2 if kind == IMAGE else PIXELS + PIXELS // 2
+    n = t["n"].to_pylist()
+    ids = np.concatenate([np.ascontiguousarray(_expand(i, m, 8)).view(np.int64).ravel() for i, m in zip(t["ids"].to_pylist(), n)])
+    row = np.repeat(np.arange(len(n)), n)
+    raw = np.concatenate([_expand(x, m, width) for x, m in zip(t["texts"].to_pylist(), n)])
+    order = np.argsort(ids, kind="stable")
+    at = order[_unique_rows(raw[order])] if kind == IMAGE else np.unique(ids, return_index=True)[1]
+    x = raw[at]
+    if kind == IMAGE:
+        x = np.stack([x >> 4, x & 15], axis=2).reshape(-1, PIXELS)
+    return x, ids[at], row[at]
+
+
+def _replayed(t: pa.Table) -> pa.Table:
+    """One leaf: pairs of texts alike (lo, hi), and texts left out with their hot leader (left_out)."""
+    kind, block = t["kind"][0].as_py(), t["block"][0].as_py()
+    flag = t["history"].to_numpy().astype(bool)
+    sides = []
+    for old in (False, True):  # a copy of a frame of history is a text of its own
+        of = np.flatnonzero(flag == old)
+        if len(of):
+            x, ids, row = _unpack(t.take(pa.array(of)))
+            sides.append((x, ids, t["batch"].to_numpy()[of[row]], np.full(len(ids), old)))
+    x, ids, batch, history = (np.concatenate(c) for c in zip(*sides))
+    lo, hi, leader, left = replay(x, ids, batch, STARTS[kind][block][1], _covers(kind), history)
+    flag = np.r_[np.zeros(len(lo), bool), np.ones(len(left), bool)]
+    return pa.table({"kind": np.full(len(flag), kind, np.int32), "lo": np.r_[lo, leader], "hi": np.r_[hi, left], "left_out": flag})
+
+
+def _looked_up(t: pa.Table) -> pa.Table:
+    """One leaf: pairs of the texts asked for with all others."""
+    kind, depth = t["kind"][0].as_py(), STARTS[t["kind"][0].as_py()][t["block"][0].as_py()][1]
+    asked = t["asked"].to_numpy(zero_copy_only=False).astype(bool)
+    lo, hi = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if asked.any() and not asked.all():
+        sides = []
+        for s in (asked, ~asked):
+            x, ids, _ = _unpack(t.take(pa.array(np.flatnonzero(s))))
+            sides.append(SuffixArray(x, ids, depth))
+        lo, hi = matches(*sides, _covers(kind))
+    return pa.table({"kind": np.full(len(lo), kind, np.int32), "lo": lo, "hi": hi, "left_out": np.zeros(len(lo), bool)})
+
+
+def meet(packed: DataFrame) -> DataFrame:
+    """All pairs of texts alike, of packed suffixes with a column ``history``; see ``_replayed``."""
+    return packed.groupBy("kind", "block", "leaf").applyInArrow(_replayed, _MET).distinct()
+
+
+def look_up(asked: DataFrame, packed: DataFrame) -> DataFrame:
+    """All pairs of the texts of ``asked`` with those of ``packed``."""
+    columns = [c.split()[0] for c in _PACKED.split(", ")]
+    both = asked.select(*columns, F.lit(True).alias("asked")).unionByName(packed.select(*columns, F.lit(False).alias("asked")))
+    return both.groupBy("kind", "block", "leaf").applyInArrow(_looked_up, _MET).distinct()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, kind and digest of each readable image and vector."""
     for b in batches:
         image, ok = decode_images(b["image"])
         x, rows = readable_vectors(b["outputs"], PIXELS)
-        of_image = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if r else None for v, r in zip(image, ok)]
-        of_vector: list[bytes | None] = [None] * b.num_rows
-        for v, r in zip(x + 0.0, rows.tolist()):
-            of_vector[r] = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays(
-            [b["id"], pa.array(of_image, pa.binary()), pa.array(of_vector, pa.binary())], names=["id", "image", "vector"]
-        )
+        for kind, values, at in ((IMAGE, image[ok], np.flatnonzero(ok)), (VECTOR, x + 0.0, rows)):
+            digest = [hashlib.blake2b(v, digest_size=16).digest() for v in np.ascontiguousarray(values)]
+            yield pa.RecordBatch.from_arrays(
+                [b["id"].take(pa.array(at)), pa.array(np.full(len(at), kind, np.int32)), pa.array(digest, pa.binary())], names=["id", "kind", "digest"]
+            )
 
 
-def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, the levels of the image (two a byte) and the unit vector in 16-bit steps (a scale and 64 steps); null if unreadable."""
-    for b in batches:
-        image, ok = decode_images(b["image"])
-        x, rows = readable_vectors(b["outputs"], PIXELS)
-        x = unit(x)
-        scale = np.abs(x).max(axis=1, keepdims=True, initial=0)
-        steps = np.rint(x / scale * 32767).astype(np.int16) if len(x) else np.zeros((0, PIXELS), np.int16)
-        vectors: list[bytes | None] = [None] * b.num_rows
-        for k, r in enumerate(rows.tolist()):
-            vectors[r] = scale[k].astype(np.float64).tobytes() + steps[k].tobytes()
-        images = [v.tobytes() if r else None for v, r in zip(image[:, ::2] << 4 | image[:, 1::2], ok)]
-        yield pa.RecordBatch.from_arrays([b["id"], pa.array(images, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "image", "vector"])
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (cut before), broadcast if its number of rows has been seen to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both contents in brief: those that match, and those too close to the limit to tell (``sure`` false)."""
+def shared_contents(frames: DataFrame) -> DataFrame:
+    """id and node of each frame whose image or vector another one has too; a node is twice the smallest id, plus kind."""
+    contents = cut(frames.select("id", "image", "outputs").mapInArrow(_digests, "id bigint, kind int, digest binary"))
+    least = contents.groupBy("kind", "digest").agg(F.min("id").alias("least"), F.max("id").alias("last"))
+    shared = cut(least.where("last > least").select("kind", "digest", (F.col("least") * 2 + F.col("kind")).alias("node")))
+    return cut(contents.join(small(shared), ["kind", "digest"]).select("id", "node").distinct())
 
-    def vectors(column: pa.Array) -> np.ndarray:
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        return np.ascontiguousarray(raw[:, :8]).view(np.float64) * np.ascontiguousarray(raw[:, 8:]).view(np.int16) / 32767
 
+def _exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        kind = b["kind"].to_numpy()
-        good, sure = np.zeros(b.num_rows, bool), np.ones(b.num_rows, bool)
-        at = np.flatnonzero(kind == IMAGE)
-        if len(at):
-            x, y = (np.frombuffer(b"".join(b[c].take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, PIXELS // 2) for c in ("content_a", "content_b"))
-            good[at] = close_pixels(x >> 4, y >> 4) + close_pixels(x & 15, y & 15) >= MIN_CLOSE
-        at = np.flatnonzero(kind == VECTOR)
-        if len(at):
-            x, y = (vectors(b[c].take(pa.array(at))) for c in ("content_a", "content_b"))
-            d = np.sqrt(((x - y) ** 2).sum(axis=1))
-            good[at] = d <= MAX_DISTANCE + _BRIEF_ERROR
-            sure[at] = np.abs(d - MAX_DISTANCE) > _BRIEF_ERROR
-        keep = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays(
-            [*(b[c].take(keep) for c in ("kind", "a", "b")), pa.array(sure).take(keep)], names=["kind", "a", "b", "sure"]
-        )
-
-
-def _compare_exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (unit(readable_vectors(b[c], PIXELS)[0]) for c in ("content_a", "content_b"))
+        x, y = (unit(readable_vectors(b[c], PIXELS)[0]) for c in ("of_a", "of_b"))
         keep = pa.array(np.flatnonzero(np.sqrt(((x - y) ** 2).sum(axis=1)) <= MAX_DISTANCE))
-        yield pa.RecordBatch.from_arrays([b[c].take(keep) for c in ("kind", "a", "b")], names=["kind", "a", "b"])
-
-
-def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """``pairs`` (kind, a, b) with content_a and content_b, from ``contents`` (id, kind, content; repeated rows agree)."""
-    ends = pairs.select("kind", "a", "b", F.explode(F.array("a", "b")).alias("id"))
-    of = lambda e: F.first(F.when(F.col("id") == F.col(e), F.col("content")), ignorenulls=True).alias(f"content_{e}")
-    return ends.join(contents, ["kind", "id"]).groupBy("kind", "a", "b").agg(of("a"), of("b"))
-
+        yield pa.RecordBatch.from_arrays([b[c].take(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def exact_links(frames: DataFrame, met: DataFrame) -> DataFrame:
+    """Of pairs (kind, lo, hi), those that match, as pairs of nodes a < b; vectors are compared in double precision."""
+    pairs = met.where("not left_out")
+    vectors = cut(pairs.where(F.col("kind") == VECTOR).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    ends = cut(vectors.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    of = frames.join(small(ends), "id", "left_semi").groupBy("id").agg(F.first("outputs").alias("outputs"))
+    of = cut(of)
+    both = vectors.join(of.select(F.col("id").alias("a"), F.col("outputs").alias("of_a")), "a")
+    both = both.join(of.select(F.col("id").alias("b"), F.col("outputs").alias("of_b")), "b")
+    exact = both.select("a", "b", "of_a", "of_b").mapInArrow(_exactly, "a bigint, b bigint")
+    node = lambda c, kind: (F.col(c) * 2 + kind).alias(c)
+    images = pairs.where(F.col("kind") == IMAGE).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return images.select(node("a", IMAGE), node("b", IMAGE)).unionByName(exact.select(node("a", VECTOR), node("b", VECTOR)))
+
+
+def settle(members: DataFrame, near: DataFrame) -> DataFrame:
+    """The accepted frames (id, node), of ``members`` (id, node) taken in order of id; ``near``: node, other (also itself)."""
+    open_, taken = members, members.limit(0)
+    while True:
+        least = open_.groupBy(F.col("node").alias("other")).agg(F.min("id").alias("least"))
+        before = near.join(least, "other").groupBy("node").agg(F.min("least").alias("least"))
+        ready = open_.join(before, "node").groupBy("id").agg(F.min("least").alias("least")).where("least >= id").select("id")
+        now = cut(open_.join(ready, "id", "left_semi"))
+        taken = taken.unionByName(now)
+        shut = near.join(now.select(F.col("node").alias("other")), "other").select("node").distinct()
+        gone = open_.join(shut, "node", "left_semi").select("id").distinct()
+        open_ = cut(open_.join(gone, "id", "left_anti"))
+        if open_.isEmpty():
+            return cut(taken)
 
-def matching_classes(frames: DataFrame, base: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs of classes that match: kind, a < b, each named by its smallest id, from the frames that ``met``.
 
-    ``frames`` has id, image, outputs; ``base`` has id, image_class, vector_class.
-    """
-    named = F.when(F.col("kind") == IMAGE, F.col("image_class")).otherwise(F.col("vector_class"))
-    pairs = met.where("kind >= 0")
-    for end, name in (("lo", "a"), ("hi", "b")):
-        pairs = pairs.join(base.withColumnRenamed("id", end), end).withColumn(name, named).drop("image_class", "vector_class", end)
-    return judge(frames, pairs.where("a <> b"))
-
-
-def hot_runs(base: DataFrame, met: DataFrame) -> DataFrame:
-    """Members of hot runs: run, kind, and the class by its smallest id."""
-    runs = met.where("kind < 0").select((F.col("kind") + 2).alias("kind"), F.col("lo").alias("run"), F.col("hi").alias("id"))
-    named = F.when(F.col("kind") == IMAGE, F.col("image_class")).otherwise(F.col("vector_class"))
-    return runs.join(base, "id").select("run", "kind", named.alias("class")).distinct()
-
-
-def judge(frames: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs of classes (kind, a, b) that match, exactly and each once, a < b."""
-    pairs = cut(pairs.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("content")) for k, c in ((IMAGE, "image"), (VECTOR, "vector")))))
-    brief = frames.select("id", "image", "outputs").mapInArrow(_brief, "id bigint, image binary, vector binary")
-    brief = brief.select("id", each.alias("c")).select("id", "c.*").where("content is not null")
-    judged = cut(_with_contents(pairs, brief).mapInArrow(_compare, "kind int, a bigint, b bigint, sure boolean"))
-    matched, unsure = judged.where("sure").drop("sure"), judged.where("not sure").drop("sure")
-    if not unsure.isEmpty():
-        whole = frames.select("id", F.lit(VECTOR).alias("kind"), F.col("outputs").alias("content"))
-        exact = _with_contents(unsure, whole).mapInArrow(_compare_exactly, "kind int, a bigint, b bigint")
-        matched = matched.unionByName(exact)
-    return matched
-
-
-def reject_repeats(base: DataFrame, links: DataFrame, frames: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+def reject_repeats(shared: DataFrame, links: DataFrame, left_out: DataFrame, look: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Take frames in order of id; give out_id and kept_id of each frame that matches an accepted one before it.
 
-    ``hot`` has runs whose members are not compared yet (run, kind, class; contents in ``frames``). Their first members
-    that are accepted or undecided are compared with the whole run, twice as many each time; a frame waits while a
-    member before it that it was not compared with may still be accepted. In the end every accepted one was compared.
+    ``shared``: id and node of frames with copies; ``links``: pairs of nodes that match; ``left_out``: nodes that met
+    smaller ids only, each with its leader. Those of them that turn out accepted are looked up (``look`` gives links of
+    nodes), some of each leader at a time, and all is settled again, until no accepted one is left that was not looked up.
     """
-    node = lambda kind, c: F.col(c) * 2 + kind
-    nodes = F.filter(F.array(node(IMAGE, "image_class"), node(VECTOR, "vector_class")), lambda x: x.isNotNull())
-    member = base.select("id", F.explode(nodes).alias("node"))
-    every = member.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    if hot is not None:
-        hot = cut(hot.select("run", node(F.col("kind"), "class").alias("node")))
-        every = every.unionByName(hot.select("node"))
-
-    def both_ways(links: DataFrame) -> DataFrame:
-        ends = links.select(node(F.col("kind"), "a").alias("node"), node(F.col("kind"), "b").alias("other"))
-        return ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
-
-    linked = both_ways(links)
-    every = linked.select("node").unionByName(every).distinct()
-    near = cut(linked.unionByName(every.select("node", F.col("node").alias("other"))))
-    involved = member.join(every, "node", "left_semi").select("id").distinct()
-    mine = cut(member.join(every, "node", "left_semi").join(involved, "id", "left_semi"))
-    open_, taken, ahead, pivots_a_run = mine, mine.limit(0), hot, FIRST_PIVOTS
-
-    def without_neighbours(of: DataFrame) -> DataFrame:
-        shut = near.join(of.select(F.col("node").alias("other")), "other").select("node").distinct()
-        gone = open_.join(shut, "node", "left_semi").select("id").distinct()
-        return cut(open_.join(gone, "id", "left_anti"))
-
+    links, asked = cut(links), None
     while True:
-        waiting = None
-        if ahead is not None:
-            live = cut(open_.unionByName(taken).groupBy("node").agg(F.min("id").alias("least")))
-            ahead = ahead.join(live, "node")
-            rank = F.row_number().over(Window.partitionBy("run").orderBy("least", "node"))
-            pivots = cut(ahead.withColumn("rank", rank).where(F.col("rank") <= pivots_a_run).select("run", "node"))
-            ahead = cut(ahead.select("run", "node").join(pivots, ["run", "node"], "left_anti"))
-            pivots_a_run *= 2
-            pairs = pivots.join(hot.withColumnRenamed("node", "other"), "run").where("node <> other and (node & 1) = (other & 1)")
-            pairs = pairs.select(F.pmod("node", F.lit(2)).cast("int").alias("kind"), F.shiftright("node", 1).alias("a"), F.shiftright("other", 1).alias("b"))
-            near = cut(near.unionByName(both_ways(judge(frames, pairs))).distinct())
-            open_ = without_neighbours(taken)
-            front = ahead.join(live, "node").groupBy("run").agg(F.min("least").alias("front"))
-            waiting = cut(ahead.join(front, "run").groupBy("node").agg(F.min("front").alias("front")))
-        while True:
-            least = open_.groupBy(F.col("node").alias("other")).agg(F.min("id").alias("least"))
-            before = near.join(least, "other").groupBy("node").agg(F.min("least").alias("least"))
-            if waiting is not None:
-                before = before.join(waiting, "node", "left").select("node", F.least("least", "front").alias("least"))
-            ready = open_.join(before, "node").groupBy("id").agg(F.min("least").alias("least")).where("least >= id").select("id")
-            now = cut(open_.join(ready, "id", "left_semi"))
-            if waiting is not None and now.isEmpty():
-                break
-            taken = cut(taken.unionByName(now)) if ahead is not None else taken.unionByName(now)
-            open_ = without_neighbours(now)
-            if open_.isEmpty():
-                break
-        if ahead is None or ahead.join(open_.unionByName(taken), "node", "left_semi").isEmpty() and open_.isEmpty():
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nodes = ends.select(F.col("a").alias("node")).unionByName(shared.select("node")).unionByName(left_out.select("node")).distinct()
+        near = cut(ends.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(nodes.select("node", F.col("node").alias("other"))).distinct())
+        # the first member of a node is the id in its name
+        members = cut(nodes.select(F.shiftright("node", 1).alias("id"), "node").unionByName(shared).distinct())
+        taken = settle(members, near)
+        open_ = left_out.join(taken.select("node"), "node", "left_semi")
+        if asked is not None:
+            open_ = open_.join(asked, "node", "left_anti")
+        salt = F.pmod(F.xxhash64("node"), F.lit(ASKED_A_LEADER))
+        next_ = cut(open_.groupBy("leader", salt).agg(F.min("node").alias("node")).select("node").distinct())
+        if next_.isEmpty():
             break
+        asked = cut(next_ if asked is None else asked.unionByName(next_))
+        links = cut(links.unionByName(look(next_)).distinct())
     kept = near.join(taken.select(F.col("node").alias("other"), F.col("id").alias("kept")), "other")
     kept = kept.groupBy("node").agg(F.min("kept").alias("kept"))
-    rejected = mine.join(kept, "node").groupBy("id").agg(F.min("kept").alias("kept_id")).where("kept_id < id")
+    rejected = members.join(kept, "node").groupBy("id").agg(F.min("kept").alias("kept_id")).where("kept_id < id")
     return rejected.select("kept_id", F.col("id").alias("out_id"))
 
 
-def rejected_of(frames: DataFrame, base: DataFrame, met: DataFrame) -> DataFrame:
-    """kept_id and out_id, from what ``_met`` gave."""
-    hot = cut(hot_runs(base, met))
-    return reject_repeats(base, cut(matching_classes(frames, base, met)), frames, None if hot.isEmpty() else hot)
+def rejected_of(rows: DataFrame, met: DataFrame, packed: DataFrame, routes: Routes) -> DataFrame:
+    """kept_id and out_id of the rejected frames of ``rows``, from what ``meet`` gave."""
+
+    def look(nodes: DataFrame) -> DataFrame:
+        ids = nodes.select(F.shiftright("node", 1).alias("id")).distinct()
+        asked = rows.join(ids, "id", "left_semi").mapInArrow(_pack(routes), _PACKED)
+        return exact_links(rows, cut(look_up(asked, packed)))
 
+    left = met.where("left_out").select((F.col("lo") * 2 + F.col("kind")).alias("leader"), (F.col("hi") * 2 + F.col("kind")).alias("node"))
+    return reject_repeats(shared_contents(rows), exact_links(rows, met), cut(left), look)
 
-def leaders(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """``rows`` with the image only where it is the first of its content, and outputs likewise."""
-    first = base.select("id", (F.col("image_class") == F.col("id")).alias("i"), (F.col("vector_class") == F.col("id")).alias("v"))
-    return rows.join(first, "id").select("id", "batch", F.when(F.col("i"), F.col("image")).alias("image"), F.when(F.col("v"), F.col("outputs")).alias("outputs"))
 
+def _rows(frames: DataFrame, key: str) -> DataFrame:
+    return frames.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("bigint"), F.lit(-1)).alias("batch"), "image", "outputs"
+    )
 
-def dedupe_batches(frames: DataFrame, key: str = "out_id", suffixes_per_shard: int = 400_000) -> DataFrame:
+
+def dedupe_batches(frames: DataFrame, key: str = "out_id", leaf_rows: int = 50_000) -> DataFrame:
     """One row per rejected frame: kept_id (the smallest accepted frame that it matches) and out_id.
 
     Frames (columns ``key``, batch_no, image, outputs) are taken in order of ``key``. Two match if both images are
@@ -604,62 +412,54 @@ def dedupe_batches(frames: DataFrame, key: str = "out_id", suffixes_per_shard: i
     an accepted one before it is rejected. Rows that repeat a key count once; rows with a null key are left out; a null
     batch_no comes before all; a frame with neither readable is always accepted; other columns are ignored.
     """
-    rows = frames.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("bigint"), F.lit(-1)).alias("batch"), "image", "outputs"
-    )
-    base = cut(classes(rows))
-    n = base.count()
-    shards = shard_count(n, suffixes_per_shard)
-    sizes = rows.mapInArrow(_sizes(shards), "kind int, shard int, n bigint")
-    met = _met(leaders(rows, base).mapInArrow(_pack(shards), _PACKED), sizes, shards, suffixes_per_shard)
-    firsts = base.where("id = image_class").select("id")
-    images = rows.select("id", "image").join(firsts, "id", "left_semi")
-    return rejected_of(rows, base, cut(met.unionByName(met_in_blocks(images, n)).distinct()))
-
-
-def classes(rows: DataFrame) -> DataFrame:
-    """id, image_class and vector_class: the smallest id with the same image and with the same vector; null if unreadable."""
-    digests = cut(rows.select("id", "image", "outputs").mapInArrow(_content, "id bigint, image binary, vector binary").distinct())
-    base = digests
-    for c in ("image", "vector"):
-        least = digests.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(f"{c}_class"))
-        base = base.join(least, c, "left")
-    return base.select("id", "image_class", "vector_class")
-
-
-def shard_count(n_frames: int, suffixes_per_shard: int) -> int:
-    per_frame = sum(v * -(-PIXELS // s) for v, s, _, _ in TEXT.values())
-    return max(8, -(-n_frames * per_frame // (2 * suffixes_per_shard)))
+    rows = _rows(frames, key)
+    routes = fit_routes(rows, leaf_rows)
+    packed = rows.mapInArrow(_pack(routes), _PACKED)
+    return rejected_of(rows, cut(meet(packed.withColumn("history", F.lit(False)))), packed, routes)
 
 
 class AcceptedIndex:
     """The accepted frames of all batches so far, kept in a folder, for batches that arrive one by one.
 
-    ``segments/s=<n>`` holds the packed suffixes of the frames that one batch added, ``frames/s=<n>`` their contents; both
-    are written once and never changed. After each batch segments of like size are merged into a new one, so that there
-    are never more than a logarithm of them. ``state.json`` names the live ones. A batch computes suffixes of its own
-    frames only; of history it reads the packed suffixes, and contents only of frames that it met.
+    ``segments/s=<n>`` holds the packed suffixes of the frames that one batch added, by leaf, and ``frames/s=<n>`` their
+    contents; both are written once and never changed. Segments of like size are merged into a new one, so that there are
+    never more than a logarithm of them. ``versions/<n>.json`` names the live segments and the routes; it can be created
+    only once, so the second of two writers from one version fails with ConflictError. A batch computes suffixes of its
+    own frames only; of history it reads the leaves that these lie in, and contents of frames that they may match.
     """
 
-    def __init__(self, spark, root: str, shards: int = 64, suffixes_per_shard: int = 400_000):
-        self.spark, self.root, self.suffixes_per_shard = spark, root.rstrip("/"), suffixes_per_shard
+    def __init__(self, spark: SparkSession, root: str, leaf_rows: int = 50_000, planned_rows: int = 10_000_000):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.leaf_rows, self.planned_rows = leaf_rows, planned_rows
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.state = {"shards": shards, "next": 0, "live": []}
-        if self._fs.exists(self._path(f"{self.root}/state.json")):
-            self.state = json.loads(spark.read.text(f"{self.root}/state.json", wholetext=True).first()[0])
-
-    def _save(self) -> None:
-        tmp, to = self._path(f"{self.root}/state.tmp"), self._path(f"{self.root}/state.json")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(self.state).encode()))
-        out.close()
-        self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        folder = self._path(f"{self.root}/versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        self.version = max((int(n[:-5]) for n in names if n[:-5].isdigit()), default=0)
+        self.state: dict = {"routes": None, "live": []}
+        if self.version:
+            self.state = json.loads(spark.read.text(f"{self.root}/versions/{self.version:09d}.json", wholetext=True).first()[0])
+
+    def _commit(self) -> None:
+        name = self._path(f"{self.root}/versions/{self.version + 1:09d}.json")
+        try:
+            out = self._fs.create(name, False)
+        except Exception as e:
+            raise ConflictError(f"another writer made version {self.version + 1}") if self._fs.exists(name) else e
+        try:
+            out.write(bytearray(json.dumps(self.state).encode()))
+        finally:
+            out.close()
+        self.version += 1
 
     def _read(self, what: str, schema: str) -> DataFrame:
         paths = [f"{self.root}/{what}/s={s}" for s, _ in self.state["live"]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", f"{self.root}/{what}").schema(schema).parquet(*paths).drop("s") if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, name: str, n: int, frames: DataFrame, segments: DataFrame) -> None:
+        frames.write.mode("overwrite").parquet(f"{self.root}/frames/s={name}")
+        segments.repartition("kind", "block", "leaf").write.partitionBy("kind", "block", "leaf").mode("overwrite").parquet(f"{self.root}/segments/s={name}")
+        self.state["live"].append([name, n])
 
     def add(self, frames: DataFrame, key: str = "out_id") -> DataFrame:
         """Take a batch: gives its rejected frames (kept_id, out_id) and adds the accepted ones.
@@ -667,39 +467,29 @@ class AcceptedIndex:
         Keys must be larger than those of the batches before, in which case the result is that of ``dedupe_batches``
         over all batches together.
         """
-        shards = self.state["shards"]
-        rows = cut(
-            frames.where(F.col(key).isNotNull())
-            .select(F.col(key).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("batch"), "image", "outputs")
-            .dropDuplicates(["id"])
-        )
-        old = self._read("frames", "id bigint, image string, outputs array<float>")
-        known = self._read("segments", _PACKED)
-        packed = cut(leaders(rows, classes(rows)).mapInArrow(_pack(shards), _PACKED))
-        history = known.withColumn("batch", F.lit(HISTORY))
-        sizes = packed.unionByName(known).select("kind", "shard", "n")
-        met = _met(packed.unionByName(history), sizes, shards, self.suffixes_per_shard)
-        images = old.select("id", "image").unionByName(rows.select("id", "image"))
-        met = cut(met.unionByName(met_in_blocks(images, sum(n for _, n in self.state["live"]))))
-        touched = met.select(F.when(F.col("kind") < 0, F.col("hi")).otherwise(F.col("lo")).alias("id")).distinct()
-        seen = cut(old.join(touched, "id", "left_semi").unionByName(rows.drop("batch")))
-        base = cut(classes(seen))
-        rejected = cut(rejected_of(seen, base, met))
+        rows = cut(_rows(frames, key).dropDuplicates(["id"]))
+        if self.state["routes"] is None:
+            self.state["routes"] = fit_routes(rows, self.leaf_rows, self.planned_rows).trees
+        routes = Routes(self.state["routes"])
+        packed = cut(rows.mapInArrow(_pack(routes), _PACKED))
+        touched = packed.groupBy("kind", "block").agg(F.collect_set("leaf").alias("leaves")).collect()  # no more than there are leaves
+        there = F.lit(False)
+        for r in touched:
+            there = there | ((F.col("kind") == r.kind) & (F.col("block") == r.block) & F.col("leaf").isin(r.leaves))
+        known = self._read("segments", _PACKED).where(there)
+        every = packed.withColumn("history", F.lit(False)).unionByName(known.withColumn("history", F.lit(True)))
+        met = cut(meet(every))
+        ends = cut(met.where(F.col("kind") == VECTOR).select(F.col("lo").alias("id")).distinct())
+        old = self._read("frames", "id bigint, image string, outputs array<float>").join(small(ends), "id", "left_semi")
+        seen = cut(old.unionByName(rows.select("id", "image", "outputs")))
+        rejected = cut(rejected_of(seen, met, packed.unionByName(known), routes))
         kept = cut(rows.join(rejected.select(F.col("out_id").alias("id")), "id", "left_anti"))
-        n, s = kept.count(), self.state["next"]
+        n = kept.count()
         if n:
-            kept.drop("batch").write.mode("overwrite").parquet(f"{self.root}/frames/s={s}")
-            kept.mapInArrow(_pack(shards), _PACKED).write.mode("overwrite").parquet(f"{self.root}/segments/s={s}")
-            self.state["live"].append([s, n])
-            self.state["next"] += 1
+            self._write(uuid.uuid4().hex, n, kept.select("id", "image", "outputs"), kept.mapInArrow(_pack(routes), _PACKED))
             while len(self.state["live"]) > 1 and self.state["live"][-2][1] <= 2 * self.state["live"][-1][1]:
-                (a, m), (b, n) = self.state["live"][-2:]
-                s = self.state["next"]
-                for what in ("frames", "segments"):
-                    both = self.spark.read.parquet(*(f"{self.root}/{what}/s={x}" for x in (a, b)))
-                    both = both.repartition("kind", "shard") if what == "segments" else both
-                    both.write.mode("overwrite").parquet(f"{self.root}/{what}/s={s}")
-                self.state["live"][-2:] = [[s, m + n]]
-                self.state["next"] += 1
-        self._save()
+                two, self.state["live"] = self.state["live"][-2:], self.state["live"][:-2]
+                of = lambda what: self.spark.read.option("basePath", f"{self.root}/{what}").parquet(*(f"{self.root}/{what}/s={s}" for s, _ in two)).drop("s")
+                self._write(uuid.uuid4().hex, two[0][1] + two[1][1], of("frames"), of("segments").select(*(c.split()[0] for c in _PACKED.split(", "))))
+        self._commit()
         return rejected

@@ -2,14 +2,16 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from placetrail.functions.vectors import readable_vectors
-from placetrail.llm import batches
+from placetrail.llm import batches, suffixes
 from placetrail.llm.batches import dedupe_batches
 from placetrail.llm.graph import Graph
 from placetrail.llm.neighbours import brute_force, nearest_neighbours, neighbour_pairs, neighbour_recall
+from placetrail.sources.snapshots import ConflictError
 from placetrail.llm.spectral import cover, describe_groups, embedding_kmeans, power_iteration, similarity_groups
 
 VECTORS = "out_id bigint, outputs array<float>, label string, id string, w double"
@@ -196,29 +198,77 @@ def test_dedupe_hot_copies_nulls_and_empty(spark):
     assert dedupe_batches(df.limit(0)).count() == 0
 
 
-def test_segments_are_searched_batch_by_batch():
-    """The replay of a shard finds the same pairs however the rows are cut into batches."""
-    rng = np.random.default_rng(1)
-    keys = np.sort(rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(40))
-    ids, marks = np.arange(300), np.arange(300).astype(np.uint8)
+def plain_image_pairs(x):
+    n = len(x)
+    return {(i, j) for i in range(n) for j in range(i + 1, n) if (np.abs(x[i].astype(int) - x[j]) <= 1).sum() >= 60}
 
-    def pairs_of(batch):
-        parts = []
-        for b in np.unique(batch):
-            m = batch == b
-            parts.append({"kind": 0, "p": 0, "q": 0, "side": 0, "batch": int(b), "keys": batches._planes(keys[m], rising=True), "ids": batches._planes(ids[m]), "marks": batches._planes(marks[m])})
-        t = batches._replay(3)(pa.Table.from_pylist(parts))
-        lo, hi = (batches._from_planes(t[c].to_pylist(), np.int64) for c in ("lo", "hi"))
-        return set(zip(lo.tolist(), hi.tolist()))
 
-    one = pairs_of(np.zeros(300, int))
-    assert one == pairs_of(ids // 17) == {(a, b) for a in range(300) for b in range(a + 1, 300) if keys[a] == keys[b]}
+def test_segments_are_searched_batch_by_batch():
+    """All pairs with a long match are found, however the rows are cut into batches."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 15, (40, 64))[rng.integers(0, 40, 300)]
+    x += rng.choice([-1, 0, 0, 0, 1], x.shape)
+    x[rng.random(x.shape) < 0.005] = 0
+    x, ids = x.astype(np.uint8), np.arange(300)
+    depth = batches.STARTS[0][0][1]
+    want = {(i, j) for i, j in plain_image_pairs(x) if (np.abs(x[i, :depth].astype(int) - x[j, :depth]) <= 1).all()}
+    assert len(want) > 100
+    for batch in (np.zeros(300, int), ids // 17, np.arange(300)):
+        lo, hi, leader, left = suffixes.replay(x, ids, batch, depth, batches._covers(0), np.zeros(300, bool))
+        assert sorted(zip(lo.tolist(), hi.tolist())) == sorted(want) and not len(left)
+
+
+def test_five_suffixes_miss_no_near_image():
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 15, (400, 64))
+    b = a + rng.choice([-1, 1], a.shape)
+    b[np.arange(400)[:, None], np.argsort(rng.random(a.shape), axis=1)[:, :4]] = rng.integers(0, 16, (400, 4))
+    found = set()
+    for start, depth in batches.STARTS[0]:
+        one, two = (suffixes.SuffixArray(batches.suffix_of(batches.texts_of(v.astype(np.uint8), 0), start), ids, depth) for v, ids in ((a, np.arange(400)), (b, np.arange(400, 800))))
+        lo, hi = suffixes.matches(one, two, batches._covers(0))
+        found |= set(zip(lo.tolist(), hi.tolist()))
+    assert found == {(k, k + 400) for k in range(400)}
+
+
+def test_four_suffixes_miss_no_near_vector():
+    """Pairs at just the largest distance, in one direction, in one coordinate or spread evenly."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    step = rng.standard_normal((600, 64)) * rng.choice([1, 0.05], (600, 64))
+    step[::3] = np.eye(64)[rng.integers(0, 64, 200)]
+    step -= (step * a).sum(1, keepdims=True) * a
+    angle = 2 * np.arcsin(0.03 / 2) * (1 - 1e-9)
+    b = a * np.cos(angle) + step / np.linalg.norm(step, axis=1, keepdims=True) * np.sin(angle)
+    found = set()
+    for start, depth in batches.STARTS[1]:
+        one, two = (suffixes.SuffixArray(batches.suffix_of(batches.texts_of(v, 1), start), ids, depth) for v, ids in ((a, np.arange(600)), (b, np.arange(600, 1200))))
+        lo, hi = suffixes.matches(one, two, batches._covers(1))
+        found |= set(zip(lo.tolist(), hi.tolist()))
+    assert found == {(k, k + 600) for k in range(600)}
+
+
+def test_routes_part_no_match():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 16, (3000, 64)).astype(np.uint8)
+    x[:1500, :13] = 3  # a stretch that can't be split has leaves of parts that meet pair by pair
+    routes = batches.Routes.fitted({0: x, 1: np.zeros((0, 96), np.uint8)}, 200)
+    rows, leaf = routes.leaves(x, 0, 0)
+    y = batches.suffix_of(x, 0)
+    together = np.zeros((len(x), len(x)), bool)
+    for k in np.unique(leaf):
+        m = rows[leaf == k]
+        together[np.ix_(m, m)] = True
+    depth = batches.STARTS[0][0][1]
+    near = (np.abs(y[:, None, :depth].astype(int) - y[None, :, :depth]) <= 1).all(axis=2)
+    assert together[near].all() and together.mean() < 0.6 and np.bincount(np.unique(leaf, return_inverse=True)[1]).max() <= 1000
 
 
 @pytest.mark.parametrize("seed", [0])
 def test_batches_one_by_one(spark, seed, tmp_path):
     rows = random_frames(seed, 360)
-    index = batches.AcceptedIndex(spark, f"file://{tmp_path}/i", shards=4)
+    index = batches.AcceptedIndex(spark, f"file://{tmp_path}/i", leaf_rows=100, planned_rows=400)
     got = set()
     for b in range(6):
         part = [r for r in rows if r[1] == b]
@@ -229,10 +279,18 @@ def test_batches_one_by_one(spark, seed, tmp_path):
     assert index.add(spark.createDataFrame([], FRAMES)).count() == 0
 
 
-def test_hot_shards_are_split(spark):
+def test_two_writers_of_an_index(spark, tmp_path):
+    rows = random_frames(5, 60)
+    one, two = (batches.AcceptedIndex(spark, f"file://{tmp_path}/i") for _ in range(2))
+    one.add(spark.createDataFrame(rows, FRAMES))
+    with pytest.raises(ConflictError):
+        two.add(spark.createDataFrame(rows, FRAMES))
+
+
+def test_many_leaves(spark):
     rows = random_frames(3, 240)
     df = spark.createDataFrame(rows, FRAMES).repartition(6)
-    assert {(r.kept_id, r.out_id) for r in dedupe_batches(df, suffixes_per_shard=300).collect()} == plain_dedupe(rows)
+    assert {(r.kept_id, r.out_id) for r in dedupe_batches(df, leaf_rows=40).collect()} == plain_dedupe(rows)
 
 
 def noisy_copies(seed, n, changed):
@@ -254,23 +312,32 @@ def test_a_hot_place_loses_no_suffixes(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_hot_runs_in_rounds(spark, seed, monkeypatch):
-    """Rounds of pivots decide as the pairs do: frames are accepted and rejected in one run, by image or by vector."""
+def test_hot_texts_and_frames_left_out(spark, seed, monkeypatch):
+    """Left out frames are looked up once their leader is rejected: images and vectors of two hot places, mixed."""
     rng = np.random.default_rng(seed)
     rows = random_frames(seed, 200)
     near = [r[1:] for r in noisy_copies(seed, 60, 12)]
     far = [(*r[:1], "".join(f"{(int(c, 16) + 2 * int(rng.random() < 0.08)) % 16:x}" for c in r[1]), *r[2:]) for r in near]
+    hot = [r[1:] for r in noisy_copies(seed + 10, 60, 2)]
+    v = rng.standard_normal(64)
+    vectors = [[float(e) for e in v + rng.standard_normal(64) * 0.002 * np.linalg.norm(v)] for _ in range(40)]
+    hot = [(r[0], r[1], vectors[k % 40] if k % 3 else None, *r[3:]) for k, r in enumerate(hot)]
     ids = iter(rng.permutation(400).tolist())
-    rows = [(next(ids), *r) for r in near + far + [r[1:] for r in rows]]
-    base = spark.createDataFrame(rows, FRAMES).repartition(2)
-    frames = base.selectExpr("cast(out_id as bigint) id", "image", "outputs")
-    named = batches.cut(batches.classes(frames))
-    met = named.selectExpr("explode(array(struct(-2 as kind, image_class as hi), struct(-1 as kind, vector_class as hi))) as m")
-    met = met.selectExpr("m.kind", "cast(m.hi % 3 as bigint) lo", "m.hi").where("hi is not null")
-    met = met.unionByName(met.selectExpr("kind", "cast(10 + hi % 2 as bigint) lo", "hi")).unionByName(met.selectExpr("kind", "cast(20 as bigint) lo", "hi"))
-    monkeypatch.setattr(batches, "FIRST_PIVOTS", 3)
-    got = {(r.kept_id, r.out_id) for r in batches.rejected_of(frames, named, met).collect()}
-    assert got == plain_dedupe(rows)
+    rows = [(next(ids), *r) for r in near + far + hot + [r[1:] for r in rows]]
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "SLICE", 50)
+    t = pa.table({c: pa.array([r[k] for r in rows], y) for c, k, y in (("id", 0, pa.int64()), ("batch", 1, pa.int64()), ("image", 2, pa.string()), ("outputs", 3, pa.list_(pa.float32())))})
+    routes = batches.Routes.fitted({0: np.zeros((0, 64), np.uint8), 1: np.zeros((0, 96), np.uint8)}, 100)
+    packed = pa.Table.from_batches(list(batches._pack(routes)(iter(t.to_batches()))))
+    packed = packed.append_column("history", pa.array([False] * packed.num_rows))
+    leaves = {(r["kind"], r["block"], r["leaf"]) for r in packed.select(["kind", "block", "leaf"]).to_pylist()}
+    met = pa.concat_tables(
+        batches._replayed(packed.filter((pc.field("kind") == k) & (pc.field("block") == b) & (pc.field("leaf") == f))) for k, b, f in sorted(leaves)
+    )
+    assert met["left_out"].to_numpy().sum() > 50
+    frames = spark.createDataFrame(t.to_pandas(), "id bigint, batch bigint, image string, outputs array<float>")
+    got = batches.rejected_of(frames, spark.createDataFrame(met.to_pandas(), batches._MET), frames.mapInArrow(batches._pack(routes), batches._PACKED), routes)
+    assert {(r.kept_id, r.out_id) for r in got.collect()} == plain_dedupe(rows)
 
 
 def test_the_worst_noise_allowed(spark):
@@ -286,15 +353,6 @@ def test_the_worst_noise_allowed(spark):
     assert {(r.kept_id, r.out_id) for r in dedupe_batches(df).collect()} == {(k, k + 1) for k in range(0, 1600, 2)}
 
 
-def test_leaves_part_no_near_rows():
-    x = np.random.default_rng(7).integers(0, 16, (3000, 4))
-    together = np.zeros((len(x), len(x)), bool)
-    for rows in batches._leaves(x):
-        together[np.ix_(rows, rows)] = True
-    near = (np.abs(x[:, None] - x[None]) <= 1).all(axis=2)
-    assert together[near].all() and together.mean() < 0.3
-
-
 def test_readable_vectors():
     x, rows = readable_vectors(pa.array([[1.0, 2.0], *bad_vectors(2), [3.0, 0.0]], pa.list_(pa.float32())), 2)
     assert rows.tolist() == [0, 8] and x.tolist() == [[1, 2], [3, 0]]
