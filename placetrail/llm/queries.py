@@ -12,7 +12,7 @@ from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
 from placetrail.llm.neighbours import brute_force, nearest_neighbours, neighbour_pairs, neighbour_recall
 from placetrail.llm.runs import collapse_runs
-from placetrail.llm.spectral import describe_groups, similarity_groups
+from placetrail.llm.spectral import describe_groups, inner_affinity, similarity_groups
 from placetrail.llm.truncation import truncated, truncation_by_source
 from placetrail.sources.tables import table
 
@@ -20,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return describe_groups(similarity_groups(table(spark, d, "descriptor", "out_id", "outputs")))
+    frames = table(spark, d, "descriptor", "out_id", "outputs")
+    described = describe_groups(inner_affinity(frames, similarity_groups(frames)))
+    return described.withColumn("typical", F.concat_ws(",", F.col("typical").cast("array<string>")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +121,17 @@ SQL: dict[str, str] = {
     "p1_found": f"""WITH r AS (SELECT DISTINCT out_id, outputs FROM descriptor WHERE {_READABLE.format(c="outputs", w=64)}),
 u AS (SELECT out_id, {_UNIT.format(c="outputs")} AS x FROM r)
 SELECT min(b.out_id) AS first_id, a.out_id FROM u a JOIN u b ON list_distance(a.x, b.x) <= 0.45 GROUP BY a.out_id HAVING count(*) > 1""",
+    "p1_groups": f"""WITH r AS (SELECT DISTINCT out_id, outputs FROM descriptor WHERE {_READABLE.format(c="outputs", w=64)}),
+u AS MATERIALIZED (SELECT out_id, {_UNIT.format(c="outputs")} AS x FROM r),
+g AS MATERIALIZED (SELECT min(b.out_id) AS first_id, a.out_id, any_value(a.x) AS x FROM u a JOIN u b ON list_distance(a.x, b.x) <= 0.45 GROUP BY a.out_id),
+e AS (SELECT first_id, unnest(x) AS v, unnest(range(64)) AS k FROM g),
+c AS (SELECT first_id, k, sum(v) AS v FROM e GROUP BY first_id, k),
+t AS (SELECT first_id, list(v ORDER BY k) AS total FROM c GROUP BY first_id),
+n AS (SELECT first_id, count(*) AS n_frames FROM g GROUP BY first_id),
+m AS (SELECT first_id, out_id, n_frames, CASE WHEN n_frames > 1 THEN round((list_dot_product(x, total) - 1) / (n_frames - 1), 9) ELSE 1.0 END AS affinity
+  FROM g JOIN t USING (first_id) JOIN n USING (first_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY first_id ORDER BY affinity DESC, out_id) AS rank FROM m)
+SELECT first_id, n_frames::BIGINT AS n_frames, string_agg(out_id::VARCHAR, ',' ORDER BY rank) AS typical FROM k WHERE rank <= 5 GROUP BY first_id, n_frames""",
     "p2_found": f"""WITH e AS (SELECT DISTINCT event_id, seq, capture_no, image, image_number FROM frame_event WHERE seq IS NOT NULL AND capture_no IS NOT NULL),
 g AS (SELECT seq, capture_no, image_number, {_IMAGE} AS im FROM e),
 l AS (SELECT *, lag(im) OVER w AS pm, lag(image_number) OVER w AS pn, lag(capture_no) OVER w AS pc FROM g WINDOW w AS (PARTITION BY seq ORDER BY capture_no)),
