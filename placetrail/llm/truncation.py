@@ -1,11 +1,14 @@
 """Texts that lost their end (problem 8), by word trigrams inside texts and at ends, in SQL.
 
 A text is cut into words, with one stop token for whatever can end a sentence (marks, line ends, links, smileys, code).
-Over all texts, each trigram, bigram and word is counted *inside* (a word follows it) and *at ends* (a stop or the end of
-a text follows it). A text whose last words are frequent inside but almost never at an end stops inside a sentence; one
-whose last word only begins words that follow the same two words stops inside a word. Texts that stop inside a markup
-element, an entity or an open quote are seen by their form. Where many texts of a source that stop so have the same
-length, that length is the source's field limit, and a text of exactly this length without an end is cut as well.
+Over all texts, each trigram is counted *inside* (a word follows it) and *at ends* (a stop or the end of a text follows it;
+apart from that, a trigram with a blank behind it, where the text ends with this blank). The final trigram of each text is
+joined to these counts. It is cut where that trigram is frequent inside but almost never at an end (inside a sentence), or
+where it is no trigram by itself but the beginning of those that go on with more letters (inside a word). A trigram too
+rare for a count leans on its bigram, and that on its last word; ``context`` tells how many words decided.
+
+Two further signs don't need counts: an element or entity of markup that is open at the end, and, where most texts of a
+source that have exactly one length stop so, that length as the source's field limit for texts without a finished end.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ MARK = r"(\.{3}|…)$"
 FINISHED = (
     r"(?i)([.!?。！？؟।)\]}>\"”»’*_~`|/\\^=]|…|https?://\S+|[:;]-?[)(/|DPp\]]|[\p{So}\p{Sk}\p{Cs}\x{FE0F}\x{200D}]|\^\^|[:;]['-]?[/\\|)(DPO3])\s*$"
 )
-#: Inside an element, an entity or a bracket of markup.
-BROKEN = r"(<[a-zA-Z/][^<>]{0,80}|<|</|\[/?[a-zA-Z]{0,12}(=[^\]\s]{0,60})?|&#?[a-zA-Z0-9]{0,8})$"
+#: What an open element, bracket or entity of markup looks like behind its last opening mark.
+OPEN_TAG, OPEN_BRACKET, OPEN_ENTITY = r"(?s)^(/?|/?[a-zA-Z][^>]{0,80}|[a-zA-Z]+\s+[a-zA-Z-]+\s*=[^>]*)$", r"(?s)^/?[a-zA-Z]{0,12}(=[^\s\]]*)?$", r"^#?[a-zA-Z0-9]{0,8}$"
 _TAG = r"<[^<>]{1,200}>|\[/?(b|i|u|s|quote|code|url|img|size|color|list)\b[^\]]{0,100}\]|&(amp;)*#?[a-zA-Z0-9]{1,8};"
 _STOP = r"https?://\S+|\r?\n|[.!?。！？؟।…]+(?=\s|$|[^\p{L}\p{N}])|[。！？؟।…]+|[:;]-?[)(/|DP](?=\s|$)|[\p{So}\x{1F000}-\x{1FAFF}]+"
 _WORD = r"\+\p{N}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[\p{L}\p{M}\p{N}_]+(?:['’.,\-‑][\p{L}\p{M}\p{N}_]+)*|¶"
@@ -46,18 +49,24 @@ def _own(documents: str) -> str:
 
 
 def _words(own: str) -> str:
-    """doc_id and words: two stops in front, a stop token wherever a sentence can end, digits as 0."""
-    plain = f"regexp_replace(body, {_q(_TAG)}, ' ')"
-    stops = f"regexp_replace({plain}, {_q(_STOP)}, ' ¶ ')"
+    """What is needed of a text: its words (two stops in front, a stop wherever a sentence can end, digits as 0), its length
+    in characters and bytes, and whether it ends with a blank, in a finished way, or in open markup."""
+    stops = f"regexp_replace(regexp_replace(body, {_q(_TAG)}, ' '), {_q(_STOP)}, ' ¶ ')"
     words = rf"regexp_extract_all(regexp_replace(lower({stops}), r'\d+', '0'), {_q(_WORD)}, 0)"
-    return f"SELECT doc_id, source, own, body, concat(array('¶', '¶'), {words}) AS w FROM ({own})"
+    behind = lambda mark, pattern: f"(substring_index(body, '{mark}', -1) <> body AND substring_index(body, '{mark}', -1) RLIKE {_q(pattern)})"
+    return rf"""
+    SELECT doc_id, source, concat(array('¶', '¶'), {words}) AS w, length(body) AS n, octet_length(body) AS n_bytes,
+      body RLIKE r'\S[ \t]$' AS spaced, right(rtrim(body), 400) RLIKE {_q(FINISHED)} AS finished,
+      {behind("<", OPEN_TAG)} OR {behind("[", OPEN_BRACKET)} OR {behind("&", OPEN_ENTITY)} AS broken
+    FROM ({own})"""
 
 
-def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0.03) -> DataFrame:
-    """Texts that stop before their end: doc_id, source, reason (markup, word, sentence, limit), the source's limit.
+def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0.03, lean: float = 5.0) -> DataFrame:
+    """Texts that stop before their end: doc_id, source, reason (markup, word, sentence, limit), context, the source's limit.
 
-    Rows with a null, empty or blank text are none; a null source is a source of its own. Every text is read whole, and
-    the counts are of all texts. Repeated rows give repeated rows. Further columns are ignored.
+    ``context`` is the number of words that the counts were of, null for markup and limit. Rows with a null, empty or
+    blank text are none; a null source is a source of its own. Every text is read whole, and the counts are of all
+    texts. Repeated rows give repeated rows. Further columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", "source")
@@ -68,50 +77,52 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
             sql = sql.replace("{{" + k + "}}", "{" + k + "}")
         return spark.sql(sql, args, **frames)
 
-    words = cut(view(_words(_own("{docs}")), docs=docs))  # read four times below, so the patterns run once
-    grams = view(
-        """
-        WITH at AS (
-          SELECT t.a, t.b, t.c, (t.d IS NULL OR t.d = '¶') AS stops FROM (
-            SELECT explode(transform(sequence(3, size(w)), i -> struct(
-              w[i - 3] AS a, w[i - 2] AS b, w[i - 1] AS c, get(w, i) AS d))) AS t
-            FROM {words} WHERE size(w) > 2) WHERE t.c <> '¶')
-        SELECT a, b, c, count_if(NOT stops) AS inside, count_if(stops) AS ended FROM at GROUP BY a, b, c""",
-        words=words,
+    words = cut(view(_words(_own("{docs}")), docs=docs))  # the patterns run once
+    grams = cut(
+        view(
+            """
+        SELECT t.a, t.b, t.c, count_if(NOT t.stops) AS inside, count_if(t.stops AND NOT t.blank) AS ended, count_if(t.blank) AS blank_ended
+        FROM (SELECT explode(transform(sequence(3, size(w)), i -> struct(
+            w[i - 3] AS a, w[i - 2] AS b, w[i - 1] AS c, i = size(w) OR w[i] = '¶' AS stops, i = size(w) AND spaced AS blank))) AS t
+          FROM {words} WHERE size(w) > 2)
+        WHERE t.c <> '¶' OR t.blank OR NOT t.stops GROUP BY t.a, t.b, t.c""",
+            words=words,
+        )
     )
-    grams = cut(grams)
-    last = view(
-        rf"""
-        SELECT doc_id, source, length(body) AS n, octet_length(body) AS n_bytes,
-          body RLIKE r'\S[ \t]$' AS spaced,
-          get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c,
-          right(rtrim(body), 400) RLIKE {_q(FINISHED)} AS finished,
-          right(rtrim(body), 400) RLIKE {_q(BROKEN)} AS broken
-        FROM {{words}}""",
-        words=words,
+    last = cut(
+        view(
+            """
+        SELECT doc_id, source, n, n_bytes, spaced, finished, broken,
+          get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c
+        FROM {words}""",
+            words=words,
+        )
     )
-    asked = view("SELECT DISTINCT a, b, c FROM {last} WHERE NOT broken AND c <> '¶'", last=last)
+    asked = cut(view("SELECT DISTINCT a, b, c FROM {last} WHERE NOT broken AND (spaced OR (NOT finished AND c <> '¶'))", last=last))
+    # shorter contexts, and what begins with the last word: of each context only the beginnings that are asked for
     stats = view(
         """
-        WITH two AS (SELECT b, c, sum(inside) AS inside, sum(ended) AS ended FROM {grams} GROUP BY b, c),
-        one AS (SELECT c, sum(inside) AS inside, sum(ended) AS ended FROM two GROUP BY c),
-        longer3 AS (
-          SELECT a, b, p AS c, sum(n) AS n FROM (
-            SELECT a, b, inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
-            FROM {grams} g LEFT SEMI JOIN (SELECT DISTINCT a, b FROM {asked}) x USING (a, b)
-            WHERE length(c) > 1 AND inside + ended > 1) GROUP BY a, b, p),
+        WITH two AS (SELECT b, c, sum(inside) AS inside, sum(ended) AS ended, sum(blank_ended) AS blank_ended FROM {grams} GROUP BY b, c),
+        one AS (SELECT c, sum(inside) AS inside, sum(ended) AS ended, sum(blank_ended) AS blank_ended FROM two GROUP BY c),
+        beginnings AS (SELECT DISTINCT c FROM {asked}),
+        longer1 AS (
+          SELECT p AS c, sum(n) AS n FROM (
+            SELECT inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
+            FROM one WHERE length(c) > 1 AND inside + ended > 1) GROUP BY p),
         longer2 AS (
           SELECT b, p AS c, sum(n) AS n FROM (
             SELECT b, inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
             FROM two LEFT SEMI JOIN (SELECT DISTINCT b FROM {asked}) x USING (b)
-            WHERE length(c) > 1 AND inside + ended > 1) GROUP BY b, p),
-        longer1 AS (
-          SELECT p AS c, sum(n) AS n FROM (
-            SELECT inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
-            FROM one WHERE length(c) > 1 AND inside + ended > 1) GROUP BY p)
+            WHERE length(c) > 1 AND inside + ended > 1) LEFT SEMI JOIN (SELECT DISTINCT b, c AS p FROM {asked}) y USING (b, p) GROUP BY b, p),
+        longer3 AS (
+          SELECT a, b, p AS c, sum(n) AS n FROM (
+            SELECT a, b, inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
+            FROM {grams} g LEFT SEMI JOIN (SELECT DISTINCT a, b FROM {asked}) x USING (a, b)
+            WHERE length(c) > 1 AND inside + ended > 1) GROUP BY a, b, p)
         SELECT q.a, q.b, q.c,
-          coalesce(g.inside, 0) AS in3, coalesce(g.ended, 0) AS end3, coalesce(two.inside, 0) AS in2,
-          coalesce(two.ended, 0) AS end2, coalesce(one.inside, 0) AS in1, coalesce(one.ended, 0) AS end1,
+          coalesce(g.inside, 0) AS in3, coalesce(g.ended, 0) AS end3, coalesce(g.blank_ended, 0) AS blank3,
+          coalesce(two.inside, 0) AS in2, coalesce(two.ended, 0) AS end2, coalesce(two.blank_ended, 0) AS blank2,
+          coalesce(one.inside, 0) AS in1, coalesce(one.ended, 0) AS end1, coalesce(one.blank_ended, 0) AS blank1,
           coalesce(l3.n, 0) AS more3, coalesce(l2.n, 0) AS more2, coalesce(l1.n, 0) AS more1
         FROM {asked} q
         LEFT JOIN {grams} g USING (a, b, c) LEFT JOIN two USING (b, c) LEFT JOIN one USING (c)
@@ -121,52 +132,52 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
         grams=grams,
         asked=asked,
     )
-    # the text's own end is among the ends; rare trigrams lean on their bigram, and that on the last word
+    # the text's own end is among the ends of its form; rare trigrams lean on their bigram, and that on the last word
     judged = view(
         """
         WITH s AS (SELECT l.*, s.* EXCEPT (a, b, c) FROM {last} l LEFT JOIN {stats} s ON l.a = s.a AND l.b = s.b AND l.c = s.c),
-        e AS (SELECT *, greatest(end3 - 1, 0) AS e3, greatest(end2 - 1, 0) AS e2, greatest(end1 - 1, 0) AS e1 FROM s),
+        e AS (SELECT *, greatest(IF(spaced, blank3, end3) - 1, 0) AS e3, greatest(IF(spaced, blank2, end2) - 1, 0) AS e2,
+          greatest(IF(spaced, blank1, end1) - 1, 0) AS e1 FROM s),
         p1 AS (SELECT *, (e1 + 0.5) / (in1 + e1 + 1) AS r1 FROM e),
         p2 AS (SELECT *, (e2 + :lean * r1) / (in2 + e2 + :lean) AS r2 FROM p1),
         p3 AS (SELECT *, (e3 + :lean * r2) / (in3 + e3 + :lean) AS end_rate,
-          CASE WHEN in3 + e3 + more3 >= 3 THEN struct(in3 + e3 AS whole, more3 AS longer)
-               WHEN in2 + e2 + more2 >= 3 THEN struct(in2 + e2 AS whole, more2 AS longer)
-               ELSE struct(in1 + e1 AS whole, more1 AS longer) END AS k FROM p2)
-        SELECT doc_id, source, n, n_bytes, finished OR coalesce(end_rate > 0.9, false) AS finished, CASE
+          CASE WHEN in3 + e3 + more3 >= 3 THEN struct(in3 + e3 AS whole, more3 AS longer, 3 AS context)
+               WHEN in2 + e2 + more2 >= 3 THEN struct(in2 + e2 AS whole, more2 AS longer, 2 AS context)
+               ELSE struct(in1 + e1 AS whole, more1 AS longer, 1 AS context) END AS k FROM p2),
+        j AS (SELECT *, CASE
           WHEN broken THEN 'markup'
           WHEN finished AND NOT spaced THEN NULL
-          WHEN spaced THEN 'sentence'
-          WHEN c = '¶' THEN NULL
-          WHEN k.longer >= IF(in1 + e1 > 2, 5, 2) AND k.whole <= 0.1 * k.longer THEN 'word'
-          WHEN in1 >= :min_inside AND end_rate < :max_end_rate THEN 'sentence' END AS reason
-        FROM p3""",
-        dict(lean=5.0, min_inside=min_inside, max_end_rate=max_end_rate),
+          WHEN c = '¶' AND NOT spaced THEN NULL
+          WHEN in1 >= :min_inside AND end_rate < :max_end_rate THEN 'sentence'
+          WHEN NOT spaced AND k.longer >= IF(in1 + e1 > 2, 5, 2) AND k.whole <= 0.1 * k.longer THEN 'word'
+          END AS reason FROM p3)
+        SELECT doc_id, source, n, n_bytes, finished OR coalesce(end_rate > 0.9, false) AS finished, reason,
+          CASE WHEN reason IN ('sentence', 'word') THEN k.context END AS context FROM j""",
+        dict(lean=lean, min_inside=min_inside, max_end_rate=max_end_rate),
         last=last,
         stats=stats,
     )
     judged = cut(judged)
-    # lengths at which most texts of a source that have no end were cut; the largest group gives the limit, and a
-    # text may be a few short of it where the cut left a blank or half a character that was then removed
-    lengths = view(
+    # a length is a source's limit if, with five texts of the source's own rate added, most of its texts are cut
+    limits = view(
         """
-        WITH at AS (
+        SELECT at.source, at.unit, at.len FROM (
           SELECT source, unit, len, count(reason) AS n_cut, count(*) AS n_all FROM (
             SELECT source, reason, stack(2, 'chars', n, 'bytes', n_bytes) AS (unit, len) FROM {judged})
-          GROUP BY source, unit, len),
-        total AS (SELECT source, count(reason) AS n_source FROM {judged} GROUP BY source),
-        peak AS (SELECT source, max_by((unit, len, n_cut), (n_cut, unit)) AS top FROM at GROUP BY source)
-        SELECT at.source, at.unit, at.len, top.len AS limit_length
-        FROM at JOIN peak ON at.source <=> peak.source AND at.unit = top.unit AND at.len BETWEEN top.len - 3 AND top.len
-        JOIN total ON at.source <=> total.source
-        WHERE top.n_cut >= 0.3 * n_source AND at.n_cut >= 5 AND at.n_cut >= 0.5 * at.n_all""",
+          GROUP BY source, unit, len) at
+        JOIN (SELECT source, avg(IF(reason IS NULL, 0, 1)) AS rate FROM {judged} GROUP BY source) mean ON at.source <=> mean.source
+        WHERE (n_cut + 5 * rate) / (n_all + 5) > 0.5""",
         judged=judged,
     )
-    limits = view("SELECT source, max(unit) AS unit, max(limit_length) AS len, collect_set(len) AS lengths FROM {lengths} GROUP BY source", lengths=lengths)
+    limits = limits.toDF("source", "unit", "len")
     return view(
         """
-        SELECT j.doc_id, j.source, coalesce(j.reason, 'limit') AS reason, l.unit AS limit_unit, l.len AS limit_length
-        FROM {judged} j LEFT JOIN {limits} l ON j.source <=> l.source
-        WHERE j.reason IS NOT NULL OR (NOT j.finished AND array_contains(l.lengths, IF(l.unit = 'bytes', j.n_bytes, j.n)))""",
+        SELECT j.doc_id, j.source, coalesce(j.reason, 'limit') AS reason, j.context,
+          IF(b.len IS NULL, IF(c.len IS NULL, NULL, 'chars'), 'bytes') AS limit_unit, coalesce(b.len, c.len) AS limit_length
+        FROM {judged} j
+        LEFT JOIN (SELECT * FROM {limits} WHERE unit = 'chars') c ON j.source <=> c.source AND j.n = c.len
+        LEFT JOIN (SELECT * FROM {limits} WHERE unit = 'bytes') b ON j.source <=> b.source AND j.n_bytes = b.len
+        WHERE j.reason IS NOT NULL OR (NOT j.finished AND (c.len IS NOT NULL OR b.len IS NOT NULL))""",
         judged=judged,
         limits=limits,
     )
