@@ -23,16 +23,14 @@ SIGNATURE = (
     r"(?s)(\r?\n(-- ?|_{5,})\r?\n[^\n]{0,200}(\r?\n[^\n]{0,200}){0,2}|\r?\n<hr ?/?>\s*<small>[^\n]{0,300}"
     r"|\r?\nSent from my [^\n]{0,100})\s*$"
 )
-#: Marks that a store or feed adds where it cut a text.
-MARK = r"(\.{3}|…)$"
-#: What may stand behind a finished text: closing or empty elements, stops, links, smileys, symbols, edit notes.
+#: What may stand behind a finished text: closing or empty elements, stops, smileys, symbols, edit notes; or a link.
 FINISHED = (
-    r"(?i)([.!?。！？؟।)\]}>\"”»’*_~`|/\\^=]|…|https?://\S+|[:;]-?[)(/|DPp\]]|[\p{So}\p{Sk}\p{Cs}\x{FE0F}\x{200D}]|\^\^|[:;]['-]?[/\\|)(DPO3])\s*$"
+    r"(?i)([.!?。！？؟।)\]}>\"”»’*_~`|/\\^=]|…|[:;]-?[)(/|DPp\]]|[\p{So}\p{Sk}\p{Cs}\x{FE0F}\x{200D}]|\^\^|[:;]['-]?[/\\|)(DPO3])\s*$"
 )
 #: What an open element, bracket or entity of markup looks like behind its last opening mark.
 OPEN_TAG, OPEN_BRACKET, OPEN_ENTITY = r"(?s)^(/?|/?[a-zA-Z][^>]{0,80}|[a-zA-Z]+\s+[a-zA-Z-]+\s*=[^>]*)$", r"(?s)^/?[a-zA-Z]{0,12}(=[^\s\]]*)?$", r"^#?[a-zA-Z0-9]{0,8}$"
 _TAG = r"<[^<>]{1,200}>|\[/?(b|i|u|s|quote|code|url|img|size|color|list)\b[^\]]{0,100}\]|&(amp;)*#?[a-zA-Z0-9]{1,8};"
-_STOP = r"https?://\S+|\r?\n|[.!?。！？؟।…]+(?=\s|$|[^\p{L}\p{N}])|[。！？؟।…]+|[:;]-?[)(/|DP](?=\s|$)|[\p{So}\x{1F000}-\x{1FAFF}]+"
+_STOP = r"(?=[h\r\n.!?。！？؟।…:;\p{So}\x{1F000}-\x{1FAFF}])(?:https?://\S+|\r?\n|[.!?。！？؟।…]+(?=\s|$|[^\p{L}\p{N}])|[。！？؟।…]+|[:;]-?[)(/|DP](?=\s|$)|[\p{So}\x{1F000}-\x{1FAFF}]+)"
 _WORD = r"\+\p{N}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[\p{L}\p{M}\p{N}_]+(?:['’.,\-‑][\p{L}\p{M}\p{N}_]+)*|¶"
 
 
@@ -41,22 +39,24 @@ def _q(pattern: str) -> str:
 
 
 def _own(documents: str) -> str:
-    """doc_id, source, own (without signature and outer space), body (without a mark)."""
-    return f"""
-    SELECT doc_id, source, own, regexp_replace(own, {_q(MARK)}, '') AS body
-    FROM (SELECT doc_id, source, regexp_replace(text, {_q(SIGNATURE)}, '') AS own
+    """doc_id, source, body: the text without signature and without the dots that a store or feed adds where it cut it."""
+    return rf"""
+    SELECT doc_id, source, CASE WHEN right(own, 4) RLIKE r'\.{{3}}$' THEN rtrim('.', rtrim('\n', own))
+      WHEN right(own, 2) RLIKE '…$' THEN rtrim('…', rtrim('\n', own)) ELSE own END AS body
+    FROM (SELECT doc_id, source, IF(contains(text, '\n'), regexp_replace(text, {_q(SIGNATURE)}, ''), text) AS own
           FROM {documents} WHERE text IS NOT NULL AND trim(text) <> '')"""
 
 
 def _words(own: str) -> str:
-    """What is needed of a text: its words (two stops in front, a stop wherever a sentence can end, digits as 0), its length
+    """What is needed of a text (doc_id, source, body): its words (two stops in front, a stop wherever a sentence can end, digits as 0), its length
     in characters and bytes, and whether it ends with a blank, in a finished way, or in open markup."""
     stops = f"regexp_replace(regexp_replace(body, {_q(_TAG)}, ' '), {_q(_STOP)}, ' ¶ ')"
     words = rf"regexp_extract_all(regexp_replace(lower({stops}), r'\d+', '0'), {_q(_WORD)}, 0)"
     behind = lambda mark, pattern: f"(substring_index(body, '{mark}', -1) <> body AND substring_index(body, '{mark}', -1) RLIKE {_q(pattern)})"
     return rf"""
     SELECT doc_id, source, concat(array('¶', '¶'), {words}) AS w, length(body) AS n, octet_length(body) AS n_bytes,
-      body RLIKE r'\S[ \t]$' AS spaced, right(rtrim(body), 400) RLIKE {_q(FINISHED)} AS finished,
+      right(body, 3) RLIKE r'\S[ \t]\n?$' AS spaced,
+      right(rtrim(body), 8) RLIKE {_q(FINISHED)} OR substring_index(substring_index(rtrim(body), ' ', -1), '\n', -1) RLIKE r'(?i)https?://\S+\s*$' AS finished,
       {behind("<", OPEN_TAG)} OR {behind("[", OPEN_BRACKET)} OR {behind("&", OPEN_ENTITY)} AS broken
     FROM ({own})"""
 
@@ -173,7 +173,7 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
     return view(
         """
         SELECT j.doc_id, j.source, coalesce(j.reason, 'limit') AS reason, j.context,
-          IF(b.len IS NULL, IF(c.len IS NULL, NULL, 'chars'), 'bytes') AS limit_unit, coalesce(b.len, c.len) AS limit_length
+          CASE WHEN c.len IS NOT NULL THEN 'chars' WHEN b.len IS NOT NULL THEN 'bytes' END AS limit_unit, coalesce(c.len, b.len) AS limit_length
         FROM {judged} j
         LEFT JOIN (SELECT * FROM {limits} WHERE unit = 'chars') c ON j.source <=> c.source AND j.n = c.len
         LEFT JOIN (SELECT * FROM {limits} WHERE unit = 'bytes') b ON j.source <=> b.source AND j.n_bytes = b.len
