@@ -14,8 +14,12 @@ BATCH = 512
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.05, refine: bool = False, entry_part: int = 8, seed: int = 5):
+    def __init__(
+        self, x: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.05, refine: bool = False, entry_part: int = 8,
+        seed: int = 5, reach: float = np.inf, patience: int = 8,
+    ):
         self.x = np.ascontiguousarray(x, np.float32)
+        self.reach2, self.patience = reach * reach, patience
         self.n, self.degree, self.beam, self.alpha2 = len(x), degree, beam, alpha * alpha
         self.square = np.einsum("ij,ij->i", self.x, self.x)
         self.out = np.full((self.n, degree), -1, np.int32)
@@ -31,13 +35,28 @@ class Graph:
             for s in range(0, self.n, BATCH):
                 self._insert(order[s : s + BATCH])
 
+    def state(self) -> dict[str, bytes]:
+        """What ``restored`` needs besides the settings."""
+        return {"x": self.x.tobytes(), "out": self.out.tobytes(), "entry": self.entry.tobytes()}
+
+    @classmethod
+    def restored(cls, state: dict[str, bytes], width: int, **settings) -> Graph:
+        g = cls(np.zeros((0, width), np.float32), **settings)
+        g.x = np.frombuffer(state["x"], np.float32).reshape(-1, width)
+        g.n, g.square = len(g.x), np.einsum("ij,ij->i", g.x, g.x)
+        g.out, g.entry = np.frombuffer(state["out"], np.int32).reshape(g.n, -1), np.frombuffer(state["entry"], np.int32)
+        return g
+
     def _dist(self, q: np.ndarray, q_square: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each row of q to its own list of ids (-1: infinite)."""
         d = q_square[:, None] + self.square[ids] - 2 * np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
         return np.where(ids < 0, np.inf, np.maximum(d, 0)).astype(np.float32)
 
     def search(self, q: np.ndarray, start: np.ndarray | None = None, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The beam of each query: ids (-1 where there are fewer) and squared distances, the nearest first."""
+        """The beam of each query: ids (-1 where there are fewer) and squared distances, the nearest first.
+
+        After ``patience`` steps only vectors within ``reach`` of the query are still walked from.
+        """
         width = width or self.beam
         q = np.ascontiguousarray(q, np.float32)
         qq = np.einsum("ij,ij->i", q, q)
@@ -49,9 +68,12 @@ class Graph:
             ids[:, 3] = np.where((ids[:, :3] == start[:, None]).any(axis=1), -1, start)
         dist = self._dist(q, qq, ids)
         open_ = ids >= 0
-        live = np.arange(len(q))
+        live, steps = np.arange(len(q)), 0
         while len(live):
             o = np.where(open_[live], dist[live], np.inf)
+            if steps >= self.patience:
+                o[o > self.reach2] = np.inf
+            steps += 1
             pick = o.argmin(axis=1)
             go = np.isfinite(o[np.arange(len(live)), pick])
             live, pick = live[go], pick[go]

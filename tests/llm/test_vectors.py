@@ -154,6 +154,14 @@ def test_equal_vectors_and_one_hot_cell(spark):
     assert len(per) == 300 and all(r.n == 5 and r.d == 0 for r in per)
 
 
+def test_a_graph_written_and_read():
+    x = np.random.default_rng(6).standard_normal((700, 8))
+    g = Graph(x, patience=4, reach=1.0)
+    h = Graph.restored(g.state(), 8, patience=4, reach=1.0)
+    for a, b in zip(g.search(x[:50]), h.search(x[:50])):
+        assert (a == b).all()
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     x = np.repeat(rng.standard_normal((250, 32)), 8, axis=0) + rng.standard_normal((2000, 32)) * 0.02
