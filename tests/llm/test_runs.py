@@ -50,8 +50,8 @@ def event(k, seq, no, image, number, late=0):
     return (k, seq, no, T0 + timedelta(seconds=no or 0), T0 + timedelta(seconds=(no or 0) + late), image, number, None, "x", 1)
 
 
-def got(spark, rows, block=4):
-    out = collapse_runs(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+def got(spark, rows, piece=4):
+    out = collapse_runs(spark.createDataFrame(rows, SCHEMA), piece=piece).collect()
     return sorted((r.seq, r.first_capture_no, r.last_capture_no, r.n_frames, r.duration_us) for r in out)
 
 
@@ -69,7 +69,14 @@ def test_random_events(spark, seed):
     rows += [event(*r[:3], r[5], r[6], late=50) for r in rows[::9]]
     rng.shuffle(rows)
     assert got(spark, [tuple(r) for r in rows]) == plain(rows)
-    assert got(spark, [tuple(r) for r in rows], block=1) == plain(rows)
+    assert got(spark, [tuple(r) for r in rows], piece=1) == plain(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions even of so few rows
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        assert got(spark, [tuple(r) for r in rows], piece=10_000) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_defined_cases(spark):
@@ -85,7 +92,13 @@ def test_defined_cases(spark):
 
 def test_a_long_run_over_many_blocks(spark):
     rows = [event(k, "a", k, "8" * 64, None) for k in range(101)]
-    assert got(spark, rows, block=7) == [("a", 0, 100, 101, 100_000_000)]
+    assert got(spark, rows, piece=7) == [("a", 0, 100, 101, 100_000_000)]
+
+
+def test_sparse_numbers_and_one_hot_sequence(spark):
+    """Time stamps as order numbers: pieces are cut by rows, not by the numbers' values."""
+    rows = [(k, "a", k * 86_400_000_000, T0, T0, "8" * 64 if k % 5 else "1" * 64, None, None, "x", 1) for k in range(400)]
+    assert got(spark, rows, piece=50) == plain(rows)
 
 
 def test_agglomerate_takes_all_links_that_may_join():
