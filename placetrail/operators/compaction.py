@@ -1,10 +1,10 @@
 """Consolidating a store of very many small saves into few files of good size (problem 3).
 
-Plan: (1) the valid save of each canonical path by one map-side combined aggregation; (2) small files are counted per
-bucket, from metadata only; (3) only buckets above the limit are rewritten, each by one task into one file, by dynamic
-overwrite below a new snapshot version with a conflict check; (4) readers take the compacted buckets and, for buckets
-under the limit, the saves as they are. Buckets are hashes of the path, so that no directory, however large, is one
-bucket, and their number follows from the bytes, not from the number of files.
+Plan: (1) the valid save of each canonical path by one map-side combined aggregation, in one scan, written once;
+(2) small files are counted per bucket, from metadata only; (3) only buckets above the limit are rewritten, each by one
+task into one file, by dynamic overwrite below a new snapshot version with a conflict check; (4) readers take the
+compacted buckets and, for buckets under the limit, the saves as they are. Buckets are hashes of the path, so that no
+directory, however large, is one bucket, and their number follows from the bytes of the valid saves.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetrail.functions.paths import canonical_path
-from placetrail.plans.session import shared_path
+from placetrail.plans.session import cut, shared_path
 from placetrail.sources.snapshots import SnapshotTable
 
 LINE_END = "\r\n|\r|\n"
@@ -29,11 +29,6 @@ def completed(files: DataFrame) -> DataFrame:
     )
 
 
-def latest(done: DataFrame, *columns: str) -> DataFrame:
-    """Of each path the ``columns`` of its last complete save; partial maxima are taken before the shuffle."""
-    return done.groupBy("path").agg(F.max_by(F.struct(*columns), "o").alias("s")).select("path", "s.*")
-
-
 def valid_saves(files: DataFrame) -> DataFrame:
     """The valid save of each file: columns path, file_id, n_bytes, body.
 
@@ -42,7 +37,8 @@ def valid_saves(files: DataFrame) -> DataFrame:
     ``file_id``. Rows with a null path, body, n_bytes or file_id are no valid save; repeated rows count once; other
     columns are ignored.
     """
-    return latest(completed(files), "file_id", "n_bytes", "body")
+    best = F.max_by(F.struct("file_id", "n_bytes", "body"), "o")  # partial maxima are taken before the shuffle
+    return completed(files).groupBy("path").agg(best.alias("s")).select("path", "s.*")
 
 
 def records(saves: DataFrame) -> DataFrame:
@@ -65,26 +61,34 @@ def compact_saves(
 
     A bucket is rewritten if it has more than ``max_small`` saves under ``small_bytes``. Gives the table and all valid
     records (path, file_id, item_no, record, bucket): from the compacted files, and for the other buckets straight from
-    the saves. Empty input gives an empty result.
+    the saves. A table that is there already keeps its records, but for paths that ``files`` saves again (the caller gives
+    saves later than those in the table). Empty input gives an empty result.
     """
     spark = files.sparkSession
     store = SnapshotTable(spark, root or shared_path(spark, "compact"))
     base = store.version()
-    total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // target_bytes))
-    done = completed(files).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(n)).cast("int"))
-    full = (
-        latest(done, "bucket", "n_bytes")
-        .groupBy("bucket")
-        .agg(F.count_if(F.col("n_bytes") < small_bytes).alias("n_small"))
-        .where(F.col("n_small") > max_small)
-        .select("bucket")
-    )
+    valid = cut(valid_saves(files).select("path", "file_id", F.octet_length("body").cast("bigint").alias("n_bytes"), "body"))
+    # the table's number of buckets stays what its first version had
+    n = store.property("n_buckets")
+    if n is None:
+        total = valid.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        n = max(1, -(-int(total) // target_bytes))
+    saves = valid.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(n)).cast("int"))
+    full = saves.groupBy("bucket").agg(F.count_if(F.col("n_bytes") < small_bytes).alias("n_small")).where(F.col("n_small") > max_small)
+    full = cut(full.select("bucket"))
     columns = ("path", "file_id", "item_no", "record", "bucket")
-    over = latest(done.join(full, "bucket", "left_semi"), "bucket", "file_id", "body").repartition(n, "bucket")
-    version = store.replace(records(over).select(*columns).sortWithinPartitions("bucket", "path", "item_no"), base)
-    rest = records(latest(done.join(full, "bucket", "left_anti"), "bucket", "file_id", "body")).select(*columns)
-    return store, store.read(version, RECORDS).unionByName(rest)
+    over = saves.join(full, "bucket", "left_semi").repartition(n, "bucket")
+    rows = records(over).select(*columns)
+    held = store.buckets(base)
+    if held:  # what the table has of these buckets stays, but for paths that were saved again
+        old = store.read(base).join(full, "bucket", "left_semi").join(saves.select("path"), "path", "left_anti")
+        rows = old.select(*columns).unionByName(rows).repartition(n, "bucket")
+    version = store.replace(rows.sortWithinPartitions("bucket", "path", "item_no"), base, properties={"n_buckets": n})
+    rest = records(saves.join(full, "bucket", "left_anti")).select(*columns)
+    now = store.read(version, RECORDS)
+    if held:
+        now = now.join(rest.select("path").distinct(), "path", "left_anti")
+    return store, now.unionByName(rest)
 
 
 def compact_table(

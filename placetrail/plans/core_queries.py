@@ -11,10 +11,11 @@ from placetrail.functions import arrays
 from placetrail.functions.images import READABLE
 from placetrail.functions.pixels import embed
 from placetrail.operators import chunks, evaluation, history, pairs, poses, scan
-from placetrail.operators.compaction import compact_saves
+from placetrail.operators.compaction import RECORDS, compact_saves, compact_table, records, valid_saves
 from placetrail.plans.presets import Preset
 from placetrail.plans.session import shared_path
 from placetrail.sources import files
+from placetrail.sources.snapshots import SnapshotTable
 from placetrail.sources.tables import table
 from placetrail.streaming import jobs
 
@@ -671,3 +672,16 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("bucket", F.input_file_name().alias("file")).groupBy("bucket").agg(
         F.count("*").alias("n_records"), F.count_distinct("file").alias("n_files")
     )
+
+
+@query(SQL["p3_found"])
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same records through a table of eight buckets of which four are many small files: only these are rewritten, onto version 2."""
+    rows = records(valid_saves(table(spark, d, "chunk_file", "file_id", "out_path", "saved_at", "n_bytes", "body")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(8)).cast("int")).select("path", "file_id", "item_no", "record", "bucket")
+    store = SnapshotTable(spark, shared_path(spark, "table"))
+    base = store.replace(rows.where("bucket < 4").repartition(12), 0)
+    base = store.replace(rows.where("bucket >= 4").repartition("bucket"), base)
+    version = compact_table(store)
+    store.expire()
+    return store.read(version, RECORDS).select("file_id", "item_no")

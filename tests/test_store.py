@@ -85,6 +85,39 @@ def test_few_files_of_the_wanted_size(spark):
     assert n_files == -(-total // 40_000)
 
 
+def test_broken_sizes_count_for_nothing(spark):
+    rows = [save(k, f"/d/f{k}", None, "a\nb") for k in range(40)] + [save(99, "/d/bad", None, "a", 1 << 60), save(98, "/d/f1", None, "a", 10**12)]
+    store, records = compact_saves(spark.createDataFrame(rows, SCHEMA), target_bytes=1000)
+    assert records.count() == 80 and len(store.buckets()) == 1
+
+
+def test_saves_onto_a_table_that_is_there(spark, tmp_path):
+    """Later saves go onto a version that holds earlier ones; only buckets with enough small saves are rewritten."""
+    root = f"file://{tmp_path}/t"
+    first = [save(k, f"/d/f{k}", None, f"a{k}\nb{k}") for k in range(300)]
+    store, _ = compact_saves(spark.createDataFrame(first, SCHEMA), root, target_bytes=300)
+    before = store.buckets()
+    assert len(before) > 5
+    later = [save(1000 + k, f"/d/f{k}", None, f"new{k}") for k in range(0, 40, 2)] + [save(2000, "/e/g", None, "g")]
+    store, records = compact_saves(spark.createDataFrame(later, SCHEMA), root, target_bytes=300, max_small=2)
+    after = store.buckets()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 0 < len(changed) < len(after) and set(before) <= set(after)
+    replaced = set(range(0, 40, 2))
+    want = [(k, n, f"{c}{k}") for k in range(300) if k not in replaced for n, c in enumerate("ab")]
+    want += [(1000 + k, 0, f"new{k}") for k in replaced] + [(2000, 0, "g")]
+    assert sorted(tuple(r) for r in records.select("file_id", "item_no", "record").collect()) == sorted(want)
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    t = SnapshotTable(spark, f"file://{tmp_path}/t")
+    for k in range(4):
+        rows = [(k, 0)] if k else [(0, 0), (7, 1)]
+        t.replace(spark.createDataFrame(rows, "x bigint, bucket int"), k)
+    assert t.expire(keep=2) == 1 and sorted(r.x for r in t.read(3).collect()) == [2, 7]
+    assert t.expire() == 1 and sorted(r.x for r in t.read().collect()) == [3, 7] and t.version() == 4
+
+
 def test_snapshots_and_conflicts(spark, tmp_path):
     def rows(*values):
         return spark.createDataFrame(values, "x bigint, bucket int")
