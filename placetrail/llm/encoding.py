@@ -91,8 +91,9 @@ def encode_corpus(
     column: str = "text",
     ranks_path: str | None = None,
     lexicon: str | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key`` and ``ids`` (array of int) of each row, without special tokens.
+    """``key``, the columns of ``keep`` and ``ids`` (array of int) of each row, without special tokens.
 
     An empty text and a null text have an empty list; the name of a special token inside a text is ordinary text. Every
     row has one row, repeated rows included; other columns are ignored. The words of a text are those of the whole
@@ -100,7 +101,8 @@ def encode_corpus(
     """
     ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
     folder = lexicon or build_lexicon(word_counts(documents, column), ranks_path)
-    kind = documents.schema[key].dataType.simpleString()
+    kept = {f"kept{n}": c for n, c in enumerate((key, *keep))}
+    schema = ", ".join(f"{k} {documents.schema[c].dataType.simpleString()}" for k, c in kept.items())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = word_splitter().findall
@@ -108,7 +110,7 @@ def encode_corpus(
             seen: dict[str, int] = {}
             places: list[int] = []
             count = np.zeros(batch.num_rows, np.int64)
-            for k, text in enumerate(batch[1].to_pylist()):
+            for k, text in enumerate(batch["text"].to_pylist()):
                 if text:
                     words = split(text)
                     count[k] = len(words)
@@ -119,8 +121,7 @@ def encode_corpus(
             flat = ids[_gather(start[at], size)] if len(at) else ids[:0]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)[np.concatenate([[0], np.cumsum(count)])]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch[0], lists], names=["key", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), lists], names=[*kept, "ids"])
 
-    return documents.select(F.col(key).alias("key"), column).mapInArrow(encode, f"key {kind}, ids array<int>").select(
-        F.col("key").alias(key), "ids"
-    )
+    rows = documents.select(*(F.col(c).alias(k) for k, c in kept.items()), F.col(column).alias("text"))
+    return rows.mapInArrow(encode, f"{schema}, ids array<int>").select(*(F.col(k).alias(c) for k, c in kept.items()), "ids")

@@ -10,16 +10,13 @@ a reduction tree until one is left per source.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrail.llm.vocab import WORD_PATTERN, load_ranks, vocabulary_path
+from placetrail.llm.encoding import encode_corpus
 from placetrail.plans.session import cut
 
 BLOCK_DOCS = 4096
@@ -29,17 +26,8 @@ _EPS = 1e-9
 
 def token_counts(documents: DataFrame, key: str = "doc_id", column: str = "text", ranks_path: str | None = None) -> DataFrame:
     """``key``, source and n_tokens of each row, in tokens of a byte-level rank file; 0 for an empty or null text."""
-    ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
-    kind = documents.schema[key].dataType.simpleString()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-        for b in batches:
-            n = [len(encoder.encode_ordinary(t)) if t else 0 for t in b[2].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(n, pa.int64())], names=["key", "source", "n_tokens"])
-
-    rows = documents.select(F.col(key).alias("key"), "source", column)
-    return rows.mapInArrow(count, f"key {kind}, source string, n_tokens bigint").withColumnRenamed("key", key)
+    ids = encode_corpus(documents, key, column, ranks_path, keep=("source",))
+    return ids.select(key, "source", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
 def copy_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
