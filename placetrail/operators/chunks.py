@@ -28,8 +28,23 @@ def assign_chunks(frames: DataFrame, preset: Preset, index: str = "frame_idx") -
 
 
 def union_chunks(chunked: DataFrame, preset: Preset) -> DataFrame:
-    """The chunks that a preset scans, in scan order; frames that stand in two chunks stay twice."""
+    """The chunks that a preset scans, in scan order; frames that stand in two chunks stay twice.
+
+    ``place`` is the chunk's place in the list of scanned chunks: behind a hole it is less than the chunk.
+    """
     out = chunked
     if preset.chunks_scanned is not None:
         out = out.where(F.col("chunk") < preset.chunks_scanned)
-    return out.where(~F.col("chunk").isin(*preset.excluded_chunks)) if preset.excluded_chunks else out
+    if preset.excluded_chunks:
+        out = out.where(~F.col("chunk").isin(*preset.excluded_chunks))
+    skipped = sum((F.when(F.col("chunk") > c, 1).otherwise(0) for c in preset.excluded_chunks), F.lit(0))
+    return out.withColumn("place", F.col("chunk") - skipped)
+
+
+def scan_order(frames: DataFrame, preset: Preset, index: str = "frame_idx") -> DataFrame:
+    """The frames as a preset scans them, chunk list after chunk list: with chunk (its place in the list), i and pos.
+
+    ``pos`` orders the scan; a frame that neighbouring chunks share has two. It needs no numbering over all rows.
+    """
+    listed = union_chunks(assign_chunks(frames, preset, index), preset).drop("chunk").withColumnRenamed("place", "chunk")
+    return listed.withColumn("pos", F.col("chunk") * (preset.chunk_size + 1) + F.col("i"))

@@ -35,10 +35,6 @@ def belief_fixed_database(pairs: DataFrame, k_run: int) -> DataFrame:
     return runs.groupBy("seq", "i").agg(F.sum(F.greatest(F.lit(0), F.col("n") - k_run + 1)).alias("lp"))
 
 
-
-
-
-
 def warm(preset: Preset, chunk, i):
     """Whether a frame enters the database without a test."""
     if preset.warmup == "none":
@@ -51,9 +47,11 @@ def suppressed_scan(frames: DataFrame, pairs: DataFrame, preset: Preset) -> Data
     """The decision on each frame: seq, pos, chunk, i, lp, is_loop.
 
     ``frames`` has seq, pos, chunk, i, and may have k_run, which then goes before the preset's; ``pairs`` has seq, i, j
-    (places, j < i). Warm-up frames have lp 0. Null seq is a sequence of its own.
+    (places, j < i), or first and last of stretches of matching places. Warm-up frames have lp 0. Null seq is a sequence
+    of its own.
     """
-    lists = pairs.groupBy(F.col("seq").alias("_s"), F.col("i").alias("_i")).agg(F.sort_array(F.collect_list("j")).alias("near"))
+    stretch = F.struct("first", "last") if "first" in pairs.columns else F.struct(F.col("j").alias("first"), F.col("j").alias("last"))
+    lists = pairs.groupBy(F.col("seq").alias("_s"), F.col("i").alias("_i")).agg(F.sort_array(F.collect_list(stretch)).alias("near"))
     k = F.col("k_run") if "k_run" in frames.columns else F.lit(preset.k_run)
     rows = frames.join(lists, F.col("seq").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_i")), "left").select(
         "seq", F.col("pos").cast("bigint"), F.col("chunk").cast("bigint"), F.col("i").cast("bigint"),
@@ -70,7 +68,7 @@ def suppressed_scan(frames: DataFrame, pairs: DataFrame, preset: Preset) -> Data
             for s, p, w, kr, m in zip(seq, pos, warm_, k_run, near):
                 if s != now:
                     now, place = s, {}
-                held = [] if w or not m else [place[j] for j in m if j in place]
+                held = [] if w or not m else [place[j] for s_ in m for j in range(s_["first"], s_["last"] + 1) if j in place]
                 n = belief(np.array(held), kr) if len(held) >= kr else 0
                 is_loop = n > more_than
                 if not is_loop:

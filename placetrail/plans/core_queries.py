@@ -12,7 +12,7 @@ from placetrail.functions.images import READABLE
 from placetrail.functions.pixels import embed
 from placetrail.operators import chunks, evaluation, history, pairs, poses, scan
 from placetrail.operators.compaction import RECORDS, compact_saves, compact_table, records, valid_saves
-from placetrail.plans.presets import Preset
+from placetrail.plans.presets import PRESETS, Preset
 from placetrail.plans.session import shared_path
 from placetrail.sources import files
 from placetrail.sources.snapshots import SnapshotTable
@@ -83,15 +83,15 @@ def chunk_assign_half_open(spark: SparkSession, d: str) -> DataFrame:
     return chunks.assign_chunks(frames, Preset(chunk_mode="half_open"), "vec_id").select("vec_id", "chunk", "i")
 
 
-@query("SELECT vec_id, vec_id // 100 AS chunk, vec_id % 100 AS i FROM embeddings WHERE vec_id // 100 < 4 AND vec_id // 100 <> 2")
+@query("SELECT vec_id, vec_id // 100 AS chunk, vec_id % 100 AS i FROM embeddings WHERE vec_id // 100 NOT IN (2, 4)")
 def chunk_union(spark: SparkSession, d: str) -> DataFrame:
-    preset = Preset(chunks_scanned=4, excluded_chunks=(2,))
+    preset = Preset(excluded_chunks=(2, 4))
     return chunks.union_chunks(_frames(spark, d), preset).select(F.col("pos").alias("vec_id"), "chunk", "i")
 
 
 @query("SELECT vec_id, vec_id // 100 AS chunk, vec_id % 100 AS i FROM embeddings WHERE vec_id // 100 <> 2")
 def chunk_union_all(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks of the table but the hole; ``chunk_union`` takes the first four only."""
+    """All chunks of the table but one."""
     return chunks.union_chunks(_frames(spark, d), Preset(excluded_chunks=(2,))).select(F.col("pos").alias("vec_id"), "chunk", "i")
 
 
@@ -248,13 +248,13 @@ _V = "v AS (SELECT vec_id, list_transform(embedding, lambda t: t::DOUBLE) AS x,
 _D = {"l2": "list_distance(a.x, b.x)", "linf": "list_max(list_transform(list_zip(a.x, b.x), lambda t: abs(t[1] - t[2])))"}
 
 
-def _pairs_sql(norm: str) -> str:
-    return f"{_V}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_D[norm]} AS d FROM v a JOIN v b ON b.vec_id < a.vec_id)"
+def _pairs_sql(norm: str, v: str = _V) -> str:
+    return f"{v}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_D[norm]} AS d FROM v a JOIN v b ON b.vec_id < a.vec_id)"
 
 
 def _nearest(spark: SparkSession, d: str, norm: str) -> DataFrame:
-    every = pairs.earlier_pairs(_frames(spark, d), norm, float("inf"))
-    return every.groupBy("i").agg(F.count("*").alias("n_earlier"), _six(F.min("d")).alias("nearest"), _six(F.max("d")).alias("farthest"))
+    every = pairs.earlier_extent(_frames(spark, d), norm)
+    return every.select("i", F.col("n").alias("n_earlier"), _six("nearest").alias("nearest"), _six("farthest").alias("farthest"))
 
 
 _NEAREST = " SELECT i, count(*) AS n_earlier, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM p GROUP BY i"
@@ -300,15 +300,15 @@ def belief_fixed_db(spark: SparkSession, d: str) -> DataFrame:
     return scan.belief_fixed_database(_near(spark, d, Preset(limit=1.30)), 3).select("i", F.col("lp").cast("bigint"))
 
 
-def _scan_sql(p: Preset, tail: str) -> str:
+def _scan_sql(p: Preset, tail: str, v: str = _V, width: int = 100) -> str:
     low = "" if p.min_part is None else f" AND d > {p.min_part} * {p.limit}"
     warm = {"per_chunk": "f.i < 3", "first_chunk": "(f.i < 3 AND f.chunk = 0)", "none": "false"}[p.warmup]
     flags = "list_transform(r.db, lambda q: CASE WHEN list_contains(f.ms, q) THEN '1' ELSE '0' END)"
     lp = f"coalesce(list_sum(list_transform(string_split(array_to_string({flags}, ''), '0'), lambda s: greatest(length(s) - {p.k_run - 1}, 0))), 0)"
     return f"""
-WITH RECURSIVE {_pairs_sql(p.norm)},
+WITH RECURSIVE {_pairs_sql(p.norm, v)},
 m AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS ms FROM p WHERE d <= {p.limit}{low} GROUP BY i),
-f AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, vec_id // 100 AS chunk, vec_id % 100 AS i, label, coalesce(ms, []) AS ms
+f AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, vec_id // {width} AS chunk, vec_id % {width} AS i, label, coalesce(ms, []) AS ms
       FROM v LEFT JOIN m ON m.i = vec_id),
 r(rn, db, vec_id, chunk, i, label, lp, is_loop) AS (
   SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, 0::BIGINT, false
@@ -321,8 +321,13 @@ r(rn, db, vec_id, chunk, i, label, lp, is_loop) AS (
 _LOOPS = "SELECT vec_id, chunk, i, lp FROM r WHERE is_loop"
 
 
+def _scanned(frames: DataFrame, preset: Preset) -> DataFrame:
+    low = None if preset.min_part is None else preset.min_part * preset.limit
+    return scan.suppressed_scan(frames, pairs.earlier_runs(frames, preset.norm, preset.limit, low), preset)
+
+
 def _scan(spark: SparkSession, d: str, preset: Preset) -> DataFrame:
-    return scan.suppressed_scan(_frames(spark, d), _near(spark, d, preset), preset)
+    return _scanned(_frames(spark, d), preset)
 
 
 def _loops(preset: Preset) -> Query:
@@ -360,6 +365,38 @@ def loop_vs_truth(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.against_truth(loops, truth, "vec_id").select("vec_id", "label", "pred")
 
 
+def _preset_sql(p: Preset) -> str:
+    s = p.chunk_size
+    hole = f" AND n - 1 NOT IN ({', '.join(map(str, p.excluded_chunks))})" if p.excluded_chunks else ""
+    skipped = "".join(f" - (n - 1 > {c})::INT" for c in p.excluded_chunks)
+    v = f"""v AS (SELECT (n - 1{skipped}) * {s + 1} + vec_id - ((n - 1) * {s} + 1) AS vec_id, list_transform(embedding, lambda t: t::DOUBLE) AS x, label
+FROM embeddings, (SELECT unnest(range(1, 1000)) AS n) WHERE vec_id BETWEEN (n - 1) * {s} + 1 AND n * {s} + 1 AND n * {s} + 1 <= (SELECT max(vec_id) FROM embeddings){hole})"""
+    number = f"(chunk + {p.base}) * {p.stride} + i"
+    number = f"round_even(({number}) / 2, 0)" if p.halve else number
+    return _scan_sql(p, f"SELECT chunk, i, lp, ({number})::VARCHAR AS image_number FROM r WHERE is_loop", v, s + 1)
+
+
+def _preset(preset: Preset) -> Query:
+    """A preset from the chunks on: shared frames, holes, the scan over the list of chunks, image numbers."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = table(spark, d, "embeddings", "vec_id", "embedding")
+        frames = e.select(F.lit("embeddings").alias("seq"), "vec_id", F.col("embedding").alias("x"))
+        loops = _scanned(chunks.scan_order(frames, preset, "vec_id"), preset).where("is_loop")
+        return loops.select("chunk", "i", "lp", arrays.image_number(preset, F.col("chunk"), F.col("i")).alias("image_number"))
+
+    return run
+
+
+#: Published presets with limits that fit these vectors, over as many chunks as there are.
+for _name, _preset_ in {
+    "preset_kitti05_resnet": PRESETS["kitti05_resnet"].but(limit=0.38, chunks_scanned=None),
+    "preset_tum_vgg16_adapted": PRESETS["tum_vgg16_adapted"].but(limit=1.35, min_part=0.93, chunks_scanned=None),
+    "preset_tum_vit": PRESETS["tum_vit"].but(limit=1.30, chunks_scanned=None, excluded_chunks=(5,)),
+}.items():
+    QUERIES[_name], SQL[_name] = _preset(_preset_), _preset_sql(_preset_)
+
+
 @query()
 def loop_scan_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The scan over all recorded sequences at once, each with its own limit and run length."""
@@ -371,7 +408,7 @@ def loop_scan_sequences(spark: SparkSession, d: str) -> DataFrame:
     order = ["chunk", "i", "out_id"]
     rows = rows.withColumn("chunk", F.coalesce("chunk", F.lit(-1))).withColumn("i", F.coalesce("i", F.lit(-1)))
     frames = files.row_numbers(rows, order, "pos", ["seq"]).withColumnRenamed("outputs", "x")
-    near = pairs.earlier_pairs(frames, "l2", F.col("dist_limit"))
+    near = pairs.earlier_runs(frames, "l2", F.col("dist_limit"))
     out = scan.suppressed_scan(frames, near, Preset())
     return out.groupBy("seq").agg(F.count("*").alias("n_frames"), F.count_if("is_loop").alias("n_loops"), F.sum("lp").alias("lp"))
 

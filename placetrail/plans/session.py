@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "placetrail", cpus: int = 8, **conf: str) -> SparkSession:
-    """A local session with the settings that the operators assume (UTC, AQE, Arrow)."""
+def build_session(app: str = "placetrail", cpus: int = 8, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A local session with the settings that the operators assume (UTC, AQE, Arrow); see ``shared_dir`` for ``checkpoint_dir``."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -21,14 +21,14 @@ def build_session(app: str = "placetrail", cpus: int = 8, **conf: str) -> SparkS
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    } | conf
+    } | ({"spark.checkpoint.dir": checkpoint_dir} if checkpoint_dir else {}) | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is taken instead.
+    Only in local mode (tests, one machine) a temporary folder is taken where the setting is absent; a cluster needs it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-placetrail-")
     sc.setCheckpointDir(f"file://{made}")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -38,6 +38,8 @@ def spark_scan(spark, frames, p: Preset):
     )
     near = pairs.earlier_pairs(df, p.norm, p.limit, None if p.min_part is None else p.min_part * p.limit, block=4)
     out = scan.suppressed_scan(df, near, p).where("is_loop").orderBy("pos").collect()
+    runs = pairs.earlier_runs(df, p.norm, p.limit, None if p.min_part is None else p.min_part * p.limit, block=4)
+    assert scan.suppressed_scan(df, runs, p).where("is_loop").orderBy("pos").collect() == out
     return [(r.chunk, r.i, r.lp) for r in out]
 
 
@@ -86,7 +88,25 @@ def test_null_vectors_and_empty_input(spark):
     assert [(r.seq, r.i, r.j, r.d) for r in got] == [(None, 1, 0, 0.0)]
 
 
+def test_a_stretch_ends_at_a_place_without_a_vector(spark):
+    schema = "seq string, pos bigint, x array<float>"
+    rows = [("s", k, None if k == 2 else [1.0]) for k in range(6)]
+    got = pairs.earlier_runs(spark.createDataFrame(rows, schema), "linf", 0.5).where("i = 5").collect()
+    assert sorted((r.first, r.last) for r in got) == [(0, 1), (3, 4)]
+    extent = pairs.earlier_extent(spark.createDataFrame(rows, schema), "l2", block=2).where("i = 5").first()
+    assert (extent.n, extent.nearest, extent.farthest) == (4, 0.0, 0.0)
+
+
+def test_a_hole_in_the_list_of_chunks(spark):
+    frames = spark.range(40).withColumnRenamed("id", "frame_idx")
+    p = Preset(chunk_size=5, excluded_chunks=(1, 4))
+    got = sorted((r.pos, r.chunk, r.i, r.frame_idx) for r in chunks.scan_order(frames, p).collect())
+    ids = [c for c in range(7) if c not in (1, 4)]
+    assert got == [(n * 6 + i, n, i, c * 5 + 1 + i) for n, c in enumerate(ids) for i in range(6)]
+
+
 def test_nineteen_presets():
+    assert PRESETS["tum_vit"].excluded_chunks == (153,) and PRESETS["tum_vit"].chunks_scanned == 165
     assert len(PRESETS) == 19
     assert {p.norm for p in PRESETS.values()} == {"l2", "linf"}
 
@@ -106,3 +126,20 @@ def test_union_of_all_chunks_grows_with_the_table(spark, data):
     ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
     got = [r.vec_id for r in QUERIES["chunk_union_all"](spark, data).collect()]
     assert sorted(got) == sorted(v for v in ids if v // 100 != 2) and max(got) >= 400
+
+
+def test_the_stream_decides_as_the_batch_does(spark, tmp_path):
+    """Three micro-batches, two sequences, state in between."""
+    from placetrail.streaming import jobs
+
+    rng = np.random.default_rng(6)
+    schema = "seq string, pos bigint, chunk bigint, i bigint, x array<float>"
+    rows = [(s, n, n // 10, n % 10, [float(v) for v in rng.integers(0, 3, 2)]) for s in "ab" for n in range(60)]
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 20 == k], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    p = Preset(limit=1.0, more_than=1)
+    got = {(r.seq, r.pos): (r.lp, r.is_loop) for r in jobs.run_once(jobs.detect(stream, p), "test").collect()}
+    df = spark.createDataFrame(rows, schema)
+    want = scan.suppressed_scan(df, pairs.earlier_runs(df, "l2", 1.0), p).collect()
+    assert got == {(r.seq, r.pos): (r.lp, r.is_loop) for r in want} and any(r.is_loop for r in want)
