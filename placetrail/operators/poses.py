@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placetrail.operators.prefix import row_numbers
+
 MARKER = "[position:"
 #: Lines behind the marker that hold each field.
 FIELDS = {"x": 1, "y": 2, "z": 3, "rx": 5, "ry": 6, "rz": 7, "rw": 8}
@@ -16,12 +18,17 @@ def parse_poses(lines: DataFrame, markers: tuple[str, ...] = (MARKER,)) -> DataF
     ``lines`` has log, pos (line number) and value. A pose starts at a line that is a marker once stripped; a field is the
     second of the items that single spaces separate on its stripped line. A field that is no number is null.
     """
-    w = Window.partitionBy("log").orderBy("pos")
-    stripped = F.trim("value")
-    out = lines.select("log", "pos", stripped.alias("value"), *(F.lead(stripped, k).over(w).alias(c) for c, k in FIELDS.items()))
-    out = out.where(F.col("value").isin(*markers))
-    number = lambda c: F.get(F.split(F.col(c), " "), 1).try_cast("double").alias(c)
-    return out.select("log", (F.row_number().over(w) - 1).cast("bigint").alias("seq_no"), "pos", *map(number, FIELDS))
+    # lines are numbered over ranges and each marker asks for the lines behind it, so no log is in one task
+    stripped = lines.select("log", "pos", F.trim("value").alias("value"))
+    numbered = row_numbers(stripped, ["pos"], "n", ["log"])
+    marks = row_numbers(numbered.where(F.col("value").isin(*markers)).select("log", "pos", "n"), ["pos"], "seq_no", ["log"])
+    asked = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), (F.col("n") + k).alias("n")) for c, k in FIELDS.items())))
+    asked = marks.select("log", "seq_no", "pos", asked.alias("a")).select("log", "seq_no", "pos", "a.*")
+    of = numbered.select(F.col("log").alias("_log"), F.col("n").alias("_n"), "value")
+    found = asked.join(of, F.col("log").eqNullSafe(F.col("_log")) & (F.col("n") == F.col("_n")), "left")
+    number = F.get(F.split("value", " "), 1).try_cast("double")
+    each = [F.max(F.when(F.col("field") == c, number)).alias(c) for c in FIELDS]
+    return found.groupBy("log", "seq_no", "pos").agg(*each).select("log", "seq_no", "pos", *FIELDS)
 
 
 def remap(poses: DataFrame) -> DataFrame:
