@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetrail.llm.batches import dedupe_batches
+from placetrail.llm.batches import AcceptedIndex, dedupe_batches
 from placetrail.llm.encoding import encode_corpus, word_counts
 from placetrail.llm.mixing import mix
 from placetrail.llm.neighbours import brute_force, nearest_neighbours, neighbour_pairs, neighbour_recall
 from placetrail.llm.runs import collapse_runs
 from placetrail.llm.spectral import describe_groups, inner_affinity, similarity_groups
 from placetrail.llm.truncation import truncated, truncation_by_source
+from placetrail.plans.session import shared_path
 from placetrail.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return dedupe_batches(table(spark, d, "descriptor", "out_id", "batch_no", "image", "outputs"))
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same frames through an index of accepted ones, batch after batch as they arrive."""
+    frames = table(spark, d, "descriptor", "out_id", "batch_no", "image", "outputs")
+    index = AcceptedIndex(spark, shared_path(spark, "accepted"), planned_rows=frames.count())
+    out = None
+    for r in frames.select("batch_no").distinct().orderBy("batch_no").collect():  # one row per batch
+        rejected = index.add(frames.where(F.col("batch_no").eqNullSafe(F.lit(r.batch_no))))
+        out = rejected if out is None else out.unionByName(rejected)
+    return out
+
+
 #: Vector fields of half_descriptor and their widths.
 FIELDS = {"outputs": 40, "output8": 32}
 
@@ -93,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_events": p2_events,
     "p4_found": p4_found,
+    "p4_batches": p4_batches,
     "p5_found": p5_found,
     "p5_recall": p5_recall,
     "p6_ids": p6_ids,
@@ -153,3 +166,4 @@ t(n, gone, kept_id, out_id) AS (
 SELECT kept_id, out_id FROM t WHERE kept_id IS NOT NULL""",
     "p5_found": f"{_neighbours_sql('outputs', 40)} UNION {_neighbours_sql('output8', 32)}",
 }
+SQL["p4_batches"] = SQL["p4_found"]
