@@ -27,6 +27,17 @@ def assign_chunks(frames: DataFrame, preset: Preset, index: str = "frame_idx") -
     return out
 
 
+def chunk_status(frames: DataFrame, preset: Preset, index: str = "frame_idx") -> DataFrame:
+    """Each chunk with its number of frames and whether it was saved: chunk, n_frames, saved.
+
+    An inclusive chunk that lacks its last frame is never saved where ``drop_partial`` holds; all others are.
+    """
+    wanted = preset.chunk_size + (preset.chunk_mode == "inclusive")
+    per = assign_chunks(frames, preset.but(drop_partial=False), index).groupBy("chunk").agg(F.count("*").alias("n_frames"), F.max("i").alias("last_i"))
+    lost = F.lit(preset.drop_partial and preset.chunk_mode == "inclusive") & (F.col("last_i") < wanted - 1)
+    return per.select("chunk", "n_frames", (~lost).cast("int").alias("saved"))
+
+
 def union_chunks(chunked: DataFrame, preset: Preset) -> DataFrame:
     """The chunks that a preset scans, in scan order; frames that stand in two chunks stay twice.
 

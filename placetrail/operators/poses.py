@@ -54,6 +54,17 @@ def velocity(key: Column) -> Column:
     )
 
 
+def messages(commands: DataFrame, *keep: str) -> DataFrame:
+    """What is published for each command (key): its velocity at once, and a stop of the same axis after it was held.
+
+    Columns ``keep``, step (0, 1), axis, speed, at_s (seconds after the command). Keys without a velocity publish nothing.
+    """
+    v = velocity(F.col("key"))
+    stop = F.struct(F.lit(1).alias("step"), v["axis"].alias("axis"), F.lit(0.0).alias("speed"), v["hold_s"].alias("at_s"))
+    go = F.struct(F.lit(0).alias("step"), v["axis"].alias("axis"), v["speed"].alias("speed"), F.lit(0).alias("at_s"))
+    return commands.where(v.isNotNull()).select(*keep, F.explode(F.array(go, stop)).alias("m")).select(*keep, "m.*")
+
+
 def latest(df: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:
     """Of each key the row that comes last; maxima are combined before the shuffle."""
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("m")).select(key, "m.*")

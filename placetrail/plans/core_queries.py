@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,12 @@ def chunk_assign_half_open(spark: SparkSession, d: str) -> DataFrame:
     return chunks.assign_chunks(frames, Preset(chunk_mode="half_open"), "vec_id").select("vec_id", "chunk", "i")
 
 
+@query(f"""SELECT chunk, count(*) AS n_frames, (max(i) >= 100)::INT AS saved FROM ({_INCLUSIVE}) GROUP BY chunk""")
+def chunk_status(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks were saved and which were lost with their last frame."""
+    return chunks.chunk_status(table(spark, d, "embeddings", "vec_id"), Preset(), "vec_id")
+
+
 @query("SELECT vec_id, vec_id // 100 AS chunk, vec_id % 100 AS i FROM embeddings WHERE vec_id // 100 NOT IN (2, 4)")
 def chunk_union(spark: SparkSession, d: str) -> DataFrame:
     preset = Preset(excluded_chunks=(2, 4))
@@ -492,6 +499,14 @@ def accuracy_f1(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluation.accuracy_f1(_evaluated(spark, d)), "accuracy", "f1")
 
 
+@query(f"SELECT {_ACC} FROM {_EVAL} WHERE actual IS NOT NULL AND pred IS NOT NULL")
+def accuracy_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation table written as CSV and read with its declared schema."""
+    path = shared_path(spark, "evaluation")
+    _evaluated(spark, d).select("actual", F.col("pred").cast("double").alias("pred")).write.option("header", "true").csv(path)
+    return _rounded(evaluation.accuracy_f1(files.read_evaluation(spark, path)), "accuracy", "f1")
+
+
 @query(f"""SELECT part, {_ACC} FROM (SELECT user_id % 10 AS part, (event_type = 'purchase')::INT AS actual, (value > 50)::INT AS pred FROM events)
 WHERE actual IS NOT NULL AND pred IS NOT NULL GROUP BY ROLLUP (part)""")
 def accuracy_f1_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -617,6 +632,21 @@ def pose_parse(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(poses.parse_poses(_pose_lines(spark, d)), "x", "rw")
 
 
+@query(f"SELECT seq_no % 2 AS odd, count(*) AS n, sum(y) AS total FROM (SELECT event_id::DOUBLE AS y, (event_id % 2 + 2) % 2 AS seq_no FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def pose_log_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Pose texts appended to logs in two steps, read back line by line and parsed."""
+    path = shared_path(spark, "poses")
+    e = table(spark, d, "events", "event_id", "value").where("value is not null")
+    lines = ["[position:", "  x: {v}", "  y: {k}", "  z: 0.5", "orientation:", "  x: 0.0", "  y: 0.0", "  z: 0.0", "  w: {v}", "---"]
+    part = lambda t: F.col("value").cast("string") if t == "{v}" else F.col("event_id").cast("string") if t == "{k}" else F.lit(t)
+    pieces = [p for line in lines for p in (*re.split(r"(\{.\})", line), "\n")][:-1]
+    text = e.select("event_id", F.concat(*map(part, pieces)).alias("text"))
+    for odd in (0, 1):
+        files.append_poses(text.where(F.pmod("event_id", F.lit(2)) == odd), path)
+    read = poses.parse_poses(files.read_lines(spark, path))
+    return read.groupBy(F.pmod(F.col("y").cast("bigint"), F.lit(2)).alias("odd")).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+
+
 @query(f"SELECT log, seq_no, round(x, 6) AS x, y, round(rw, 6) AS z FROM ({_POSE})")
 def trajectory_remap(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(poses.remap(poses.parse_poses(_pose_lines(spark, d))), "x", "z")
@@ -639,6 +669,16 @@ def command_velocity(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("v", poses.velocity(F.col("key"))).select("event_id", "key", "v.axis", "v.speed", "v.hold_s")
 
 
+@query(f"""SELECT event_id, s AS step, CASE WHEN k IN ('w', 's') THEN 'linear' ELSE 'angular' END AS axis,
+CASE WHEN s = 1 THEN 0::DOUBLE WHEN k = 'w' THEN 1.5::DOUBLE WHEN k = 's' THEN -1.5::DOUBLE WHEN k = 'a' THEN 1::DOUBLE ELSE -1::DOUBLE END AS speed,
+CASE WHEN s = 0 THEN 0 WHEN k IN ('w', 's') THEN 2 ELSE 1 END AS at_s
+FROM (SELECT event_id, {_KEY} AS k FROM events), (SELECT unnest([0, 1]) AS s) WHERE k <> 'q'""")
+def command_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of each command with the stop that follows."""
+    e = table(spark, d, "events", "event_id", "event_type").select("event_id", F.expr(_KEY).alias("key"))
+    return poses.messages(e, "event_id")
+
+
 @query("""SELECT user_id, event_id, round(value, 6) AS value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def latest_odometry(spark: SparkSession, d: str) -> DataFrame:
