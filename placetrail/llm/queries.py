@@ -33,11 +33,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_events(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_runs(table(spark, d, "frame_event"))
+    runs = collapse_runs(table(spark, d, "frame_event"))
+    return runs.withColumn("started_us", F.unix_micros("started_at")).drop("started_at")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_events(spark, d).where("n_frames >= 2").select("seq", "first_capture_no", "last_capture_no")
+    return collapse_runs(table(spark, d, "frame_event")).where("n_frames >= 2").select("seq", "first_capture_no", "last_capture_no")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +131,13 @@ def _neighbours_sql(column: str, width: int) -> str:
  SELECT least(i, j) AS id_lo, greatest(i, j) AS id_hi FROM k WHERE rank <= 5)"""
 
 
+_STRETCHES = f"""WITH e AS (SELECT DISTINCT event_id, seq, capture_no, captured_at, image, image_number FROM frame_event WHERE seq IS NOT NULL AND capture_no IS NOT NULL),
+g AS (SELECT seq, capture_no, captured_at, image_number, {_IMAGE} AS im FROM e),
+l AS (SELECT *, lag(im) OVER w AS pm, lag(image_number) OVER w AS pn, lag(capture_no) OVER w AS pc FROM g WINDOW w AS (PARTITION BY seq ORDER BY capture_no)),
+a AS (SELECT *, CASE WHEN pc IS NULL THEN false
+  WHEN im IS NOT NULL AND pm IS NOT NULL THEN {_CLOSE.format(a="im", b="pm")} AND coalesce(abs(image_number - pn) <= 1, true)
+  ELSE coalesce(image_number = pn, false) END AS ok FROM l),
+s AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY seq ORDER BY capture_no) AS run FROM a)"""
 SQL: dict[str, str] = {
     "p1_found": f"""WITH r AS (SELECT DISTINCT out_id, outputs FROM descriptor WHERE {_READABLE.format(c="outputs", w=64)}),
 u AS (SELECT out_id, {_UNIT.format(c="outputs")} AS x FROM r)
@@ -145,14 +153,9 @@ m AS (SELECT first_id, out_id, n_frames, CASE WHEN n_frames > 1 THEN round((list
   FROM g JOIN t USING (first_id) JOIN n USING (first_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY first_id ORDER BY affinity DESC, out_id) AS rank FROM m)
 SELECT first_id, n_frames::BIGINT AS n_frames, string_agg(out_id::VARCHAR, ',' ORDER BY rank) AS typical FROM k WHERE rank <= 5 GROUP BY first_id, n_frames""",
-    "p2_found": f"""WITH e AS (SELECT DISTINCT event_id, seq, capture_no, image, image_number FROM frame_event WHERE seq IS NOT NULL AND capture_no IS NOT NULL),
-g AS (SELECT seq, capture_no, image_number, {_IMAGE} AS im FROM e),
-l AS (SELECT *, lag(im) OVER w AS pm, lag(image_number) OVER w AS pn, lag(capture_no) OVER w AS pc FROM g WINDOW w AS (PARTITION BY seq ORDER BY capture_no)),
-a AS (SELECT *, CASE WHEN pc IS NULL THEN false
-  WHEN im IS NOT NULL AND pm IS NOT NULL THEN {_CLOSE.format(a="im", b="pm")} AND coalesce(abs(image_number - pn) <= 1, true)
-  ELSE coalesce(image_number = pn, false) END AS ok FROM l),
-s AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY seq ORDER BY capture_no) AS run FROM a)
-SELECT seq, min(capture_no) AS first_capture_no, max(capture_no) AS last_capture_no FROM s GROUP BY seq, run HAVING count(*) > 1""",
+    "p2_found": f"{_STRETCHES} SELECT seq, min(capture_no) AS first_capture_no, max(capture_no) AS last_capture_no FROM s GROUP BY seq, run HAVING count(*) > 1",
+    "p2_events": f"""{_STRETCHES} SELECT seq, min(capture_no) AS first_capture_no, max(capture_no) AS last_capture_no, count(*) AS n_frames,
+epoch_us(min(captured_at)) AS started_us, epoch_us(max(captured_at)) - epoch_us(min(captured_at)) AS duration_us FROM s GROUP BY seq, run""",
     "p4_found": f"""WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT out_id, {_IMAGE} AS im,
   CASE WHEN {_READABLE.format(c="outputs", w=64)} THEN {_UNIT.format(c="outputs")} END AS x FROM descriptor),
 p AS MATERIALIZED (SELECT a.out_id AS i, b.out_id AS j FROM r a JOIN r b ON b.out_id < a.out_id
