@@ -39,9 +39,10 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text logs: log (path), pos, value. A log is read as one value, to number its lines."""
-    logs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log"), "value")
-    return logs.select("log", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    """Lines of text logs: log (path), pos (from 0), value. A long log is read in splits, and numbered over these."""
+    place = F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), *place, "value")
+    return row_numbers(rows, ["_start", "_at"], "pos", ["log"]).select("log", "pos", "value")
 
 
 def save_chunks(descriptors: DataFrame, path: str, keys: list[str]) -> None:
