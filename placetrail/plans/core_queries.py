@@ -404,7 +404,26 @@ for _name, _preset_ in {
     QUERIES[_name], SQL[_name] = _preset(_preset_), _preset_sql(_preset_)
 
 
-@query()
+_FLAGS = "list_transform(r.db, lambda q: CASE WHEN list_contains(f.ms, q) THEN '1' ELSE '0' END)"
+
+
+@query(f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY chunk, i, out_id) - 1 AS pos, i, list_transform(outputs, lambda t: t::DOUBLE) AS x, dist_limit, k_run
+  FROM (SELECT DISTINCT out_id, seq, coalesce(chunk, -1) AS chunk, coalesce(i, -1) AS i, outputs FROM descriptor
+    WHERE seq IS NOT NULL AND len(outputs) = 64 AND list_aggregate(list_transform(outputs, lambda t: (t IS NOT NULL AND isfinite(t))::INT), 'min') = 1)
+  JOIN seq_info USING (seq)),
+m AS MATERIALIZED (SELECT a.seq, a.pos, list(b.pos ORDER BY b.pos) AS ms FROM v a JOIN v b
+  ON a.seq = b.seq AND b.pos < a.pos AND list_distance(a.x, b.x) <= a.dist_limit GROUP BY a.seq, a.pos),
+f AS MATERIALIZED (SELECT seq, pos, i, k_run, coalesce(ms, []) AS ms FROM v LEFT JOIN m USING (seq, pos)),
+r(seq, pos, db, lp, is_loop) AS (
+  SELECT DISTINCT seq, -1::BIGINT, []::BIGINT[], 0::BIGINT, false FROM v
+  UNION ALL
+  SELECT seq, pos, CASE WHEN lp > 0 THEN db ELSE list_append(db, pos) END, lp, lp > 0 FROM (
+    SELECT f.seq, f.pos, r.db, (CASE WHEN f.i < 3 THEN 0 ELSE coalesce(list_sum(list_transform(
+      string_split(array_to_string({_FLAGS}, ''), '0'), lambda s: greatest(length(s) - f.k_run + 1, 0))), 0) END)::BIGINT AS lp
+    FROM r JOIN f ON f.seq = r.seq AND f.pos = r.pos + 1))
+SELECT seq, count(*) AS n_frames, count(*) FILTER (is_loop) AS n_loops, sum(lp)::BIGINT AS lp FROM r WHERE pos >= 0 GROUP BY seq""")
 def loop_scan_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The scan over all recorded sequences at once, each with its own limit and run length."""
     info = table(spark, d, "seq_info", "seq", "dist_limit", "k_run")
