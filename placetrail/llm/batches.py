@@ -364,6 +364,8 @@ def reject_repeats(shared: DataFrame, links: DataFrame, left_out: DataFrame, loo
     nodes), some of each leader at a time, and all is settled again, until no accepted one is left that was not looked up.
     """
     links, asked = cut(links), None
+    if links.isEmpty() and shared.isEmpty() and left_out.isEmpty():
+        return links.select(F.col("a").alias("kept_id"), F.col("b").alias("out_id"))
     while True:
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nodes = ends.select(F.col("a").alias("node")).unionByName(shared.select("node")).unionByName(left_out.select("node")).distinct()

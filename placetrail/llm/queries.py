@@ -46,14 +46,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The same frames through an index of accepted ones, batch after batch as they arrive."""
+    """The same frames through an index of accepted ones: all batches but the last one, then the last one as it arrives."""
     frames = table(spark, d, "descriptor", "out_id", "batch_no", "image", "outputs")
     index = AcceptedIndex(spark, shared_path(spark, "accepted"), planned_rows=frames.count())
-    out = None
-    for r in frames.select("batch_no").distinct().orderBy("batch_no").collect():  # one row per batch
-        rejected = index.add(frames.where(F.col("batch_no").eqNullSafe(F.lit(r.batch_no))))
-        out = rejected if out is None else out.unionByName(rejected)
-    return out
+    last = F.lit(frames.agg(F.max("batch_no")).first()[0])
+    before = index.add(frames.where(F.col("batch_no").isNull() | (F.col("batch_no") < last)))
+    return before.unionByName(index.add(frames.where(F.col("batch_no") == last)))
 
 
 #: Vector fields of half_descriptor and their widths.
