@@ -23,7 +23,7 @@ from placetrail.plans.session import cut
 
 SHARD_ROWS = 16384
 #: Settings of the graphs; walks go on from vectors within REACH limits only, after the first steps.
-REACH, SETTINGS = 1.6, {"degree": 24, "beam": 32, "entry_part": 4, "patience": 16}
+REACH, SETTINGS = 1.6, {"degree": 24, "beam": 32, "entry_part": 4, "patience": 32}
 #: Bound of the sample that the pivots are taken from.
 MAX_PIVOTS = 4096
 
