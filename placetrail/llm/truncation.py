@@ -23,6 +23,8 @@ SIGNATURE = (
     r"(?s)(\r?\n(-- ?|_{5,})\r?\n[^\n]{0,200}(\r?\n[^\n]{0,200}){0,2}|\r?\n<hr ?/?>\s*<small>[^\n]{0,300}"
     r"|\r?\nSent from my [^\n]{0,100})\s*$"
 )
+#: What a text with a signature holds behind a line end; the others are spared the pattern.
+SIGNATURE_OPENS = ("--", "_____", "<hr", "Sent from my ")
 #: What may stand behind a finished text: closing or empty elements, stops, smileys, symbols, edit notes; or a link.
 FINISHED = (
     r"(?i)([.!?。！？؟।)\]}>\"”»’*_~`|/\\^=]|…|[:;]-?[)(/|DPp\]]|[\p{So}\p{Sk}\p{Cs}\x{FE0F}\x{200D}]|\^\^|[:;]['-]?[/\\|)(DPO3])\s*$"
@@ -40,10 +42,11 @@ def _q(pattern: str) -> str:
 
 def _own(documents: str) -> str:
     """doc_id, source, body: the text without signature and without the dots that a store or feed adds where it cut it."""
+    opens = " OR ".join(rf"contains(text, '\n{x}')" for x in SIGNATURE_OPENS)
     return rf"""
     SELECT doc_id, source, CASE WHEN right(own, 4) RLIKE r'\.{{3}}$' THEN rtrim('.', rtrim('\n', own))
       WHEN right(own, 2) RLIKE '…$' THEN rtrim('…', rtrim('\n', own)) ELSE own END AS body
-    FROM (SELECT doc_id, source, IF(contains(text, '\n'), regexp_replace(text, {_q(SIGNATURE)}, ''), text) AS own
+    FROM (SELECT doc_id, source, IF({opens}, regexp_replace(text, {_q(SIGNATURE)}, ''), text) AS own
           FROM {documents} WHERE text IS NOT NULL AND trim(text) <> '')"""
 
 
@@ -52,7 +55,7 @@ def _words(own: str) -> str:
     in characters and bytes, and whether it ends with a blank, in a finished way, or in open markup."""
     stops = f"regexp_replace(regexp_replace(body, {_q(_TAG)}, ' '), {_q(_STOP)}, ' ¶ ')"
     words = rf"regexp_extract_all(regexp_replace(lower({stops}), r'\d+', '0'), {_q(_WORD)}, 0)"
-    behind = lambda mark, pattern: f"(substring_index(body, '{mark}', -1) <> body AND substring_index(body, '{mark}', -1) RLIKE {_q(pattern)})"
+    behind = lambda mark, pattern: f"(contains(body, '{mark}') AND substring_index(body, '{mark}', -1) RLIKE {_q(pattern)})"
     return rf"""
     SELECT doc_id, source, concat(array('¶', '¶'), {words}) AS w, length(body) AS n, octet_length(body) AS n_bytes,
       right(body, 3) RLIKE r'\S[ \t]\n?$' AS spaced,
@@ -81,11 +84,11 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
     grams = cut(
         view(
             """
-        SELECT t.a, t.b, t.c, count_if(NOT t.stops) AS inside, count_if(t.stops AND NOT t.blank) AS ended, count_if(t.blank) AS blank_ended
-        FROM (SELECT explode(transform(sequence(3, size(w)), i -> struct(
-            w[i - 3] AS a, w[i - 2] AS b, w[i - 1] AS c, i = size(w) OR w[i] = '¶' AS stops, i = size(w) AND spaced AS blank))) AS t
-          FROM {words} WHERE size(w) > 2)
-        WHERE t.c <> '¶' OR t.blank OR NOT t.stops GROUP BY t.a, t.b, t.c""",
+        SELECT a, b, c, count_if(NOT stops) AS inside, count_if(stops AND NOT blank) AS ended, count_if(blank) AS blank_ended
+        FROM (SELECT a, b, c, d IS NULL OR d = '¶' AS stops, d IS NULL AND spaced AS blank
+          FROM {words} LATERAL VIEW inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS a, b, c, d
+          WHERE size(w) > 2 AND c IS NOT NULL)
+        WHERE c <> '¶' OR blank OR NOT stops GROUP BY a, b, c""",
             words=words,
         )
     )
@@ -107,8 +110,9 @@ def truncated(documents: DataFrame, min_inside: int = 3, max_end_rate: float = 0
         beginnings AS (SELECT DISTINCT c FROM {asked}),
         longer1 AS (
           SELECT p AS c, sum(n) AS n FROM (
-            SELECT inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
-            FROM one WHERE length(c) > 1 AND inside + ended > 1) GROUP BY p),
+            SELECT inside + ended AS n, left(c, k) AS p
+            FROM one LATERAL VIEW explode(sequence(1, length(c) - 1)) AS k WHERE length(c) > 1 AND inside + ended > 1)
+          LEFT SEMI JOIN (SELECT c AS p FROM beginnings) y USING (p) GROUP BY p),
         longer2 AS (
           SELECT b, p AS c, sum(n) AS n FROM (
             SELECT b, inside + ended AS n, explode(transform(sequence(1, length(c) - 1), k -> left(c, k))) AS p
