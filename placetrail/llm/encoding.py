@@ -92,15 +92,19 @@ def encode_corpus(
     ranks_path: str | None = None,
     lexicon: str | None = None,
     keep: tuple[str, ...] = (),
+    count_only: bool = False,
 ) -> DataFrame:
     """``key``, the columns of ``keep`` and ``ids`` (array of int) of each row, without special tokens.
 
+    With ``count_only`` their number, ``n_tokens`` (bigint), stands in place of the ids.
+
     An empty text and a null text have an empty list; the name of a special token inside a text is ordinary text. Every
     row has one row, repeated rows included; other columns are ignored. The words of a text are those of the whole
     text, however long it is. ``lexicon`` is a folder that build_lexicon gave, by default one is built from this corpus.
     """
     ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
     folder = lexicon or build_lexicon(word_counts(documents, column), ranks_path)
+    name, kind = ("n_tokens", "bigint") if count_only else ("ids", "array<int>")
     kept = {f"kept{n}": c for n, c in enumerate((key, *keep))}
     schema = ", ".join(f"{k} {documents.schema[c].dataType.simpleString()}" for k, c in kept.items())
 
@@ -118,10 +122,13 @@ def encode_corpus(
             ids, start = encode_words([w.encode("utf-8", "surrogatepass") for w in seen], folder, ranks_path)
             at = np.array(places, np.int64)
             size = start[at + 1] - start[at] if len(at) else at
-            flat = ids[_gather(start[at], size)] if len(at) else ids[:0]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)[np.concatenate([[0], np.cumsum(count)])]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), lists], names=[*kept, "ids"])
+            if count_only:
+                out = pa.array(np.diff(ends), pa.int64())
+            else:
+                flat = ids[_gather(start[at], size)] if len(at) else ids[:0]
+                out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), out], names=[*kept, name])
 
     rows = documents.select(*(F.col(c).alias(k) for k, c in kept.items()), F.col(column).alias("text"))
-    return rows.mapInArrow(encode, f"{schema}, ids array<int>").select(*(F.col(k).alias(c) for k, c in kept.items()), "ids")
+    return rows.mapInArrow(encode, f"{schema}, {name} {kind}").select(*(F.col(k).alias(c) for k, c in kept.items()), name)

@@ -26,8 +26,7 @@ _EPS = 1e-9
 
 def token_counts(documents: DataFrame, key: str = "doc_id", column: str = "text", ranks_path: str | None = None) -> DataFrame:
     """``key``, source and n_tokens of each row, in tokens of a byte-level rank file; 0 for an empty or null text."""
-    ids = encode_corpus(documents, key, column, ranks_path, keep=("source",))
-    return ids.select(key, "source", F.size("ids").cast("bigint").alias("n_tokens"))
+    return encode_corpus(documents, key, column, ranks_path, keep=("source",), count_only=True)
 
 
 def copy_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
