@@ -12,7 +12,7 @@ from placetrail.llm import vocab
 from placetrail.llm.encoding import build_lexicon, encode_corpus, word_counts
 from placetrail.llm.lexicon import compile_lexicon, look_up
 from placetrail.llm.mixing import copy_rates, mix, pivot
-from placetrail.llm.truncation import truncated, truncation_by_source
+from placetrail.llm.truncation import _own, truncated, truncation_by_source
 
 RANKS = vocab.vocabulary_path("byte_bpe_50k.tiktoken")
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer files here")
@@ -46,6 +46,9 @@ def test_encoding_is_the_tokenizers(spark):
     assert {r.doc_id: r.ids for r in encode_corpus(df, lexicon=few).collect()} == dict(enumerate(want))
     assert encode_corpus(df.limit(0)).count() == 0
     assert encode_corpus(docs(spark, ["", None])).collect() == [(0, []), (1, [])]
+    counted = encode_corpus(df, keep=("source",), count_only=True).collect()
+    assert {r.doc_id: (r.source, r.n_tokens) for r in counted} == {k: ("s", len(w)) for k, w in enumerate(want)}
+    assert encode_corpus(df.limit(0), count_only=True).count() == 0
     twice = encode_corpus(df.where("doc_id = 6").unionByName(df.where("doc_id = 6"))).collect()
     assert len(twice) == 2
 
@@ -174,6 +177,15 @@ def test_truncated_texts(spark):
     assert truncated(df.limit(0)).count() == 0
 
 
+def test_signatures_of_every_form_are_taken_off(spark):
+    marks = ["\n-- \nJo", "\r\n--\r\nJo\r\nBonn", "\n_____\nJo", "\n________\r\nJo", "\n<hr/> <small>Jo</small>", "\n<hr>\n<small>x", "\nSent from my phone"]
+    kept = ["a -- b", "a\n-b", "a\n---\nb", "a <hr> b", "Sent from my desk", "a\n____\nb", "a"]
+    df = docs(spark, ["own part" + m for m in marks] + kept + [None, "", "  "])
+    df.createOrReplaceTempView("signed")
+    got = {r.doc_id: r.body for r in spark.sql(_own("signed")).collect()}
+    assert got == dict(enumerate(["own part"] * len(marks) + kept))
+
+
 def test_field_limit_is_found(spark):
     long_ = [" ".join(g.rstrip(".!") for g in forum()[k : k + 9]) for k in range(0, 500, 9)]
     texts = [*forum(), *(t[:300] for t in long_)]
