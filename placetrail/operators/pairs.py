@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
-def _kernel(a: np.ndarray, b: np.ndarray, norm: str) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray, norm: str) -> np.ndarray:
     """Distances of all rows of a to all of b; L2 without cancellation, 64 rows at a time."""
     out = np.empty((len(a), len(b)))
     for s in range(0, len(a), 64):
@@ -59,7 +59,7 @@ def _met(frames: DataFrame, norm: str, upper, lower, block: int, result, schema:
             places = np.frombuffer(t["places"][k].as_py(), np.int64)
             sides += [places, np.frombuffer(t["vectors"][k].as_py(), kind).reshape(len(places), -1).astype(np.float64)]
         late, x, early, y = sides
-        d = _kernel(x, y, norm)
+        d = distances(x, y, norm)
         earlier = early[None] < late[:, None]
         return result(t["seq"][0].as_py(), late, early, d, earlier & (d <= t["up"][0].as_py()) & (d > t["low"][0].as_py()))
 

@@ -439,11 +439,9 @@ def loop_scan_sequences(spark: SparkSession, d: str) -> DataFrame:
         "seq is not null and size(outputs) = 64 and not exists(outputs, v -> v is null or isnan(v) or abs(v) = float('infinity'))"
     )
     rows = rows.dropDuplicates(["out_id"]).join(F.broadcast(info), "seq")  # seq_info does not grow
-    order = ["chunk", "i", "out_id"]
     rows = rows.withColumn("chunk", F.coalesce("chunk", F.lit(-1))).withColumn("i", F.coalesce("i", F.lit(-1)))
-    frames = files.row_numbers(rows, order, "pos", ["seq"]).withColumnRenamed("outputs", "x")
-    near = pairs.earlier_runs(frames, "l2", F.col("dist_limit"))
-    out = scan.suppressed_scan(frames, near, Preset())
+    frames = rows.withColumnRenamed("outputs", "x")
+    out = scan.vector_scan(frames, ["chunk", "i", "out_id"], Preset(), F.col("dist_limit"))
     return out.groupBy("seq").agg(F.count("*").alias("n_frames"), F.count_if("is_loop").alias("n_loops"), F.sum("lp").alias("lp"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from placetrail.operators import chunks, pairs, scan
 from placetrail.plans.presets import PRESETS, Preset
@@ -68,6 +69,62 @@ def test_random_sequences_against_a_plain_loop(spark):
         assert spark_scan(spark, frames, p) == plain(frames, p)
 
 
+@pytest.mark.parametrize("preset", [Preset(limit=1.0), Preset(limit=1.0, norm="linf", k_run=2), Preset(limit=1.5, min_part=0.5, warmup="none", more_than=1), Preset(limit=2.0, k_run=9)])
+def test_a_scan_of_the_vectors_decides_as_the_scan_of_pairs(spark, preset):
+    """Blocks and tiles of a few frames, distances exactly at the limits, widths that differ between sequences."""
+    rng = np.random.default_rng(5)
+    schema = "seq string, pos bigint, chunk bigint, i bigint, x array<float>"
+    rows = [(s, n, n // 10, n % 10, [float(v) for v in rng.integers(0, 3, w)]) for s, w in (("a", 2), ("b", 3), (None, 4)) for n in range(150)]
+    df = spark.createDataFrame(rows, schema)
+    low = None if preset.min_part is None else preset.min_part * preset.limit
+    want = scan.suppressed_scan(df, pairs.earlier_runs(df, preset.norm, preset.limit, low), preset).collect()
+    got = scan.vector_scan(df, ["pos"], preset, preset.limit, block=7, tile=5).collect()
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r.is_loop for r in got)
+    a = [(c, i, x) for s, _, c, i, x in rows if s == "a"]
+    assert sorted((r.chunk, r.i, r.lp) for r in got if r.seq == "a" and r.is_loop) == plain(a, preset)
+
+
+def test_a_scan_of_the_vectors_without_frames_limits_or_run_lengths(spark):
+    schema = "seq string, pos bigint, chunk bigint, i bigint, x array<float>, up double, k_run int"
+    assert scan.vector_scan(spark.createDataFrame([], schema), ["pos"], BASE, F.col("up")).count() == 0
+    rows = [(s, n, 0, n, [1.0], up, k) for s, up, k in (("a", 0.5, 3), ("b", None, 3), ("c", 0.5, None)) for n in range(6)]
+    got = scan.vector_scan(spark.createDataFrame(rows, schema), ["pos"], BASE, F.col("up")).where("is_loop").collect()
+    assert sorted((r.seq, r.pos, r.lp) for r in got) == [("a", n, 1) for n in (3, 4, 5)]
+
+
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1e-3, 1.0, 1e18]))
+def test_flags_at_the_bound_are_those_of_the_differences(seed, scale):
+    rng = np.random.default_rng(seed)
+    x = (rng.standard_normal((9, 64)) * scale + 100 * scale * rng.integers(0, 2)).astype(np.float32).astype(np.float64)
+    d = np.array([[np.sqrt(np.cumsum((a - b) ** 2)[-1]) for b in x] for a in x])
+    for up in d[0, 1:4]:
+        assert (scan.near_flags(x, x, "l2", up, float("-inf")) == (d <= up)).all()
+        assert (scan.near_flags(x, x, "l2", up, d[0, 4]) == ((d <= up) & (d > d[0, 4]))).all()
+
+
+def test_the_shuffle_of_all_sequences_follows_their_frames(spark, tmp_path):
+    """Wide limits: nearly all pairs of a sequence match, but nothing is written per pair of blocks."""
+    from placetrail.plans.core_queries import QUERIES
+
+    n = 6_000
+    x = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.rand(3).cast("float") + (F.hash("id", k) % 100 / 100).cast("float"))
+    frames = spark.range(n).select(
+        F.col("id").alias("out_id"), F.lit("s").alias("seq"), (F.col("id") / 100).cast("int").alias("chunk"), (F.col("id") % 100).cast("int").alias("i"), x.alias("outputs")
+    )
+    frames.write.parquet(f"{tmp_path}/descriptor.parquet")
+    spark.createDataFrame([("s", 5.0, 3)], "seq string, dist_limit double, k_run int").write.parquet(f"{tmp_path}/seq_info.parquet")
+    own = f"{tmp_path}"
+    spark.sparkContext.setJobGroup(own, own)
+    assert QUERIES["loop_scan_sequences"](spark, own).first().n_frames == n
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, written = spark.sparkContext._jsc.sc().statusStore(), 0
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup(own):
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            written += store.lastStageAttempt(stage).shuffleWriteBytes()
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert n * 64 * 4 < written < 4 * n * 64 * 4
+
+
 @given(st.lists(st.booleans(), max_size=40), st.integers(1, 5))
 def test_belief_counts_runs(bits, k):
     want = sum(max(0, len(r) - k + 1) for r in "".join("1" if b else "0" for b in bits).split("0"))
